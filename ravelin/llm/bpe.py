@@ -27,7 +27,8 @@ from ravelin.llm.common import fresh, list_chunks
 #: Words longer than this are walked one by one instead of in step with others.
 LONG_WORD = 48
 #: Fixed value: how the byte-level scheme splits a text before merging, with white space as Unicode defines it.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+BLANK = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 NEVER = np.int64(1) << 40
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe
-from ravelin.llm.common import table
+from ravelin.llm import bpe, language
+from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
-TOKENIZER = os.environ.get("RAVELIN_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    model = language.train(docs.where(~held_out))
+    return language.with_language(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +27,5 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *bpe.digests("token_ids", "decoded"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_bpe": op5_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op5_bpe": op5_bpe}
 ORACLES: dict[str, str] = {}
