@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, language
+from ravelin.llm import bpe, language, toxicity
 from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
@@ -27,5 +27,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *bpe.digests("token_ids", "decoded"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op5_bpe": op5_bpe}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = fold("doc_id", 5) == 0
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity}
 ORACLES: dict[str, str] = {}
