@@ -39,16 +39,23 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that spark.checkpoint.dir names, which all executors share.
-
-    Where that setting is unset (tests, a laptop), the session's own warehouse folder serves.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(place or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; where unset (tests, a laptop), one in the warehouse."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (place or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints").rstrip("/")
+
+
+def durable(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage with a table in the shared folder. The table of `instead_of`, an earlier result, is deleted."""
+    path = f"{shared_folder(df.sparkSession)}/{fresh('table').strip('_')}"
+    df.write.parquet(path)
+    if instead_of is not None:
+        jvm, old = df.sparkSession._jvm, instead_of._durable_path
+        at = jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
 
 
 def fresh(prefix: str) -> str:
