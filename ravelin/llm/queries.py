@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, language, simhash, toxicity
+from ravelin.llm import bpe, language, mixing, simhash, toxicity
 from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
@@ -27,6 +27,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.with_language(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    return docs.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return docs.select("doc_id", *bpe.digests("token_ids", "decoded"))
@@ -39,5 +44,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity}
 ORACLES: dict[str, str] = {}
