@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, language, mixing, simhash, toxicity
+from ravelin.llm import bpe, language, mixing, orderhash, simhash, toxicity
 from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
@@ -44,5 +44,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity}
+def op9_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = orderhash.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    edited = F.sha2("edited", 256).alias("edited_sha256")
+    return docs.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op9_orderhash": op9_orderhash}
 ORACLES: dict[str, str] = {}
