@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, language, mixing, orderhash, simhash, toxicity
+from ravelin.llm import bpe, language, maxent, mixing, orderhash, simhash, toxicity
 from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
@@ -50,5 +50,12 @@ def op9_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op9_orderhash": op9_orderhash}
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    model = maxent.train(docs.where(~F.col("held_out")))
+    return maxent.with_scores(docs, model, keep=["doc_id", "held_out"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op9_orderhash": op9_orderhash, "op10_maxent": op10_maxent}
 ORACLES: dict[str, str] = {}
