@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, language, maxent, mixing, orderhash, simhash, toxicity
+from ravelin.llm import ann, bpe, language, maxent, mixing, orderhash, simhash, toxicity
 from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
@@ -44,6 +44,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors.where("vec_id % 100 = 0"), ann.index(vectors))
+
+
 def op9_orderhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = orderhash.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
     edited = F.sha2("edited", 256).alias("edited_sha256")
@@ -57,5 +62,5 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.with_scores(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op9_orderhash": op9_orderhash, "op10_maxent": op10_maxent}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_hnsw": op8_hnsw, "op9_orderhash": op9_orderhash, "op10_maxent": op10_maxent}
 ORACLES: dict[str, str] = {}
