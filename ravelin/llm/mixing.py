@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ravelin.llm.common import durable, word_count
 
 #: Rows that one task orders at a time, in the two-level running sums and ranks.
-CHUNK = 20_000
+CHUNK = 2_000
 
 
 def targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
