@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import ann, bpe, language, maxent, mixing, orderhash, simhash, toxicity
+from ravelin.llm import ann, bpe, language, licences, maxent, mixing, orderhash, simhash, toxicity
 from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
@@ -37,6 +37,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *bpe.digests("token_ids", "decoded"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "template", "containment", "first_word", "matches")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = fold("doc_id", 5) == 0
@@ -62,5 +67,5 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.with_scores(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_hnsw": op8_hnsw, "op9_orderhash": op9_orderhash, "op10_maxent": op10_maxent}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op6_licences": op6_licences, "op7_toxicity": op7_toxicity, "op8_hnsw": op8_hnsw, "op9_orderhash": op9_orderhash, "op10_maxent": op10_maxent}
 ORACLES: dict[str, str] = {}
