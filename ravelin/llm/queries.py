@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import ann, bpe, language, licences, maxent, mixing, orderhash, simhash, toxicity
+from ravelin.llm import ann, bpe, language, licences, maxent, mixing, orderhash, quality, simhash, toxicity
 from ravelin.llm.common import fold, table
 
 #: The tokenizer file of op5 and the pipeline.
@@ -32,6 +32,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.with_quality(docs, quality.train(docs)).select("doc_id", "posterior", "score", "keep")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return docs.select("doc_id", *bpe.digests("token_ids", "decoded"))
@@ -67,5 +72,5 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.with_scores(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op6_licences": op6_licences, "op7_toxicity": op7_toxicity, "op8_hnsw": op8_hnsw, "op9_orderhash": op9_orderhash, "op10_maxent": op10_maxent}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_licences": op6_licences, "op7_toxicity": op7_toxicity, "op8_hnsw": op8_hnsw, "op9_orderhash": op9_orderhash, "op10_maxent": op10_maxent}
 ORACLES: dict[str, str] = {}
