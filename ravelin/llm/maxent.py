@@ -2,7 +2,7 @@
 
 P(word | history) = P(class | history) * P(word | class). The class is read off the word: the most frequent training words and the
 end of a text have classes of their own, every other word that of its last bytes. The class is predicted by a softmax over hashed
-features of the words before: the word one, two and three back (the latter two are skips), and the pair of the last two classes.
+features of the words before: the word one back, that two back (a skip), and the pair of the last two classes.
 Within a class, words have their add-one share of the class's training tokens, unknown words together that of one more word, so the
 probabilities of all next words add up to 1.
 
@@ -27,17 +27,17 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.common import ascii_lower, durable, fresh, list_chunks, sums_between, words
 
-FREQUENT = 24  # classes of single words
-SUFFIXES = 39  # classes by last bytes
+FREQUENT = 12  # classes of single words
+SUFFIXES = 19  # classes by last bytes
 END = FREQUENT + SUFFIXES
 CLASSES = END + 1
 SUFFIX_BYTES = 3
 #: A word with at least this share of the training tokens is sent to every executor; there are at most 1 / HEAD_SHARE of them.
-HEAD_SHARE = 1 / 20_000
+HEAD_SHARE = 1 / 200_000
 BUCKETS = 1 << 13
-#: First row of each feature's weights: words one, two and three back, and pairs of classes; then the number of rows.
-ROWS = (0, BUCKETS, 2 * BUCKETS, 3 * BUCKETS, 3 * BUCKETS + (CLASSES + 1) ** 2)
-PARTS = 64  # the weights travel in so many pieces
+#: First row of each feature's weights: words one and two back, and pairs of classes; then the number of rows.
+ROWS = (0, BUCKETS, 2 * BUCKETS, 2 * BUCKETS + (CLASSES + 1) ** 2)
+PARTS = 16  # the weights travel in so many pieces
 BATCH = 8192
 ADDERS = 32
 #: So many zeros count in with the changes of each weight row, which holds back those of rare features.
@@ -90,7 +90,7 @@ class Tokens:
         back = lambda x, k, none: np.where(place >= k, np.concatenate([np.full(k, none), x])[: len(x)], none)
         buckets = slot[which]
         pair = back(self.kind, 1, CLASSES) * (CLASSES + 1) + back(self.kind, 2, CLASSES)
-        self.rows = np.stack([ROWS[0] + back(buckets, 1, 0), ROWS[1] + back(buckets, 2, 0), ROWS[2] + back(buckets, 3, 0), ROWS[3] + pair])
+        self.rows = np.stack([ROWS[0] + back(buckets, 1, 0), ROWS[1] + back(buckets, 2, 0), ROWS[2] + pair])
 
 
 def class_scores(model: Model, t: Tokens) -> np.ndarray:
