@@ -219,7 +219,7 @@ def segment_chunks(spark: SparkSession, d: str) -> DataFrame:
  WHEN 2 THEN 'see [citation needed] here' || chr(10) || 'Contents' || chr(10) || text ELSE text END AS x FROM documents),
  a AS (SELECT doc_id, array_to_string(list_filter(string_split(x, chr(10)), lambda s: NOT regexp_matches(lower(trim(s)), '^\s*(jump to navigation|jump to search|toggle.*|contents|hide|show)\s*$')), chr(10)) AS x FROM m),
  b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?i)\[(?:\d+|note\s*\d+|citation needed)\]', '', 'g'), '\[(?:\d+(?:,\s*\d+)+)\]', '', 'g') AS x FROM a)
- SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(x, chr(10)), lambda s: rtrim(regexp_replace(s, '[ \t]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'))) AS text_md5 FROM b""")
+ SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(x, chr(10)), lambda s: rtrim(regexp_replace(s, '[ \t]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM b""")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     k, t = F.col("doc_id") % 4, F.col("text")
     marked = F.when(k == 0, F.concat(F.lit("Jump to search\n"), t, F.lit(" claim [12] and [3, 4] end"))).when(k == 1, F.concat(t, F.lit("\n\n\n\ntwo   spaces\ttab")))
