@@ -73,14 +73,24 @@ def example_buckets(rows: DataFrame, n: int = 2) -> DataFrame:
 
 
 def allocation(strata: DataFrame, size: int) -> DataFrame:
-    """(stratum, n, take): proportional shares by largest remainder, at least 1 for each stratum; `strata` has stratum, n, a row each."""
+    """(stratum, n, take): proportional shares by largest remainder; `strata` has stratum and n > 0, a row each.
+
+    Whole parts first, what is left to the largest remainders (of equal ones the last name first). Then strata without a row get one
+    each, if `size` allows for all, from whichever has most: the units above 1 are ranked by height, and the highest are given away.
+    """
     all_rows = W.partitionBy()
-    share = F.col("n") * F.lit(float(size)) / F.sum("n").over(all_rows)
-    rows = strata.withColumn("floor", F.greatest(F.lit(1), F.floor(share)).cast("long")).withColumn("rest", F.round(share - F.floor(share), 9))
-    left = F.lit(size) - F.sum("floor").over(all_rows)
-    place = F.row_number().over(W.orderBy(F.desc("rest"), "stratum"))
-    rows = rows.withColumn("left", left).withColumn("place", place)
-    return rows.select("stratum", "n", F.least("n", F.col("floor") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).alias("take"))
+    total, exact = F.sum("n").over(all_rows), F.lit(float(size)) * F.col("n") / F.sum("n").over(all_rows)
+    rows = strata.withColumns({"total": total, "base": F.floor(exact), "rest": F.round(exact - F.floor(exact), 9)})
+    rows = rows.withColumns({"left": F.lit(size) - F.sum("base").over(all_rows), "place": F.row_number().over(W.orderBy(F.desc("rest"), F.desc("stratum")))})
+    rows = rows.withColumn("got", F.when(F.col("total") <= size, F.col("n")).otherwise(F.col("base") + (F.col("place") <= F.col("left")).cast("long")))
+    rows = rows.withColumn("bare", F.when(F.count("*").over(all_rows) <= size, F.count_if(F.col("got") == 0).over(all_rows)).otherwise(0))
+    units = rows.where("got > 1").select("stratum", "bare", F.explode(F.sequence(F.lit(2), F.col("got"))).alias("height"))
+    units = units.withColumn("nth", F.row_number().over(W.orderBy(F.desc("height"), "stratum"))).where("nth <= bare")
+    given = units.groupBy("stratum").agg(F.count("*").alias("given"))
+    order = F.row_number().over(W.orderBy(F.col("got") > 0, "stratum"))
+    out = rows.join(given, "stratum", "left").withColumns({"order": order, "all_given": F.sum("given").over(all_rows)})
+    take = F.when((F.col("got") == 0) & (F.col("bare") > 0) & (F.col("order") <= F.coalesce("all_given", F.lit(0))), 1).otherwise(F.col("got") - F.coalesce("given", F.lit(0)))
+    return out.select("stratum", "n", take.cast("long").alias("take"))
 
 
 def sample(rows: DataFrame, takes: DataFrame, stratum: str, key: str, seed: int = 13) -> DataFrame:

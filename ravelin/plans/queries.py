@@ -374,11 +374,11 @@ def example_buckets(spark: SparkSession, d: str) -> DataFrame:
     return analytics.example_buckets(rows).select("bucket", "qid", "place")
 
 
-@query("""WITH s AS (SELECT source AS stratum, count(*) AS n FROM documents GROUP BY source), x AS (SELECT *, n * 100.0::DOUBLE / sum(n) OVER () AS sh FROM s),
- f AS (SELECT *, greatest(1, floor(sh))::BIGINT AS fl, round(sh - floor(sh), 9) AS rest FROM x), p AS (SELECT *, 100 - sum(fl) OVER () AS lft, row_number() OVER (ORDER BY rest DESC, stratum) AS place FROM f)
- SELECT stratum, n, least(n, fl + CASE WHEN place <= lft THEN 1 ELSE 0 END)::BIGINT AS take FROM p""")
+@query("""WITH s AS (SELECT source AS stratum, count(*) AS n FROM documents GROUP BY source), x AS (SELECT *, 30.0::DOUBLE * n / sum(n) OVER () AS e FROM s),
+ f AS (SELECT *, floor(e) AS base, round(e - floor(e), 9) AS rest FROM x), p AS (SELECT *, 30 - sum(base) OVER () AS lft, row_number() OVER (ORDER BY rest DESC, stratum DESC) AS place FROM f)
+ SELECT stratum, n, (base + CASE WHEN place <= lft THEN 1 ELSE 0 END)::BIGINT AS take FROM p""")
 def stratified_allocation(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.allocation(table(spark, d, "documents").groupBy(F.col("source").alias("stratum")).agg(F.count("*").alias("n")), 100)
+    return analytics.allocation(table(spark, d, "documents").groupBy(F.col("source").alias("stratum")).agg(F.count("*").alias("n")), 30)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -85,7 +85,9 @@ def test_answers(spark):
 
 def test_allocation(spark):
     s = spark.createDataFrame([("a", 98), ("b", 1), ("c", 1)], "stratum string, n long")
-    assert {r["stratum"]: r["take"] for r in analytics.allocation(s, 10).collect()} == {"a": 9, "b": 1, "c": 1}
+    assert {r["stratum"]: r["take"] for r in analytics.allocation(s, 10).collect()} == {"a": 8, "b": 1, "c": 1}
+    assert sum(r["take"] for r in analytics.allocation(s, 2).collect()) == 2
+    assert {r["stratum"]: r["take"] for r in analytics.allocation(s, 100).collect()} == {"a": 98, "b": 1, "c": 1}
     rows = spark.range(100).selectExpr("id", "'a' AS s")
     takes = spark.createDataFrame([("a", 7)], "stratum string, take long")
     assert analytics.sample(rows, takes, "s", "id").count() == 7
