@@ -74,7 +74,18 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return sparse.search(docs_index(spark, d), bench_questions(spark, d), 10)
 
 
-@query()
+SQL_PRF = SQL_BM25 + f""", base AS (SELECT * FROM r WHERE rank <= 10), seen AS (SELECT query_id, rank, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM base JOIN d USING (chunk_id) WHERE rank <= 8),
+ w AS (SELECT query_id, term, round(sum(1.0::DOUBLE / rank), 6) AS weight, min(rank * 10000000000 + pos) AS first FROM seen s WHERE len(term) >= 2 AND NOT EXISTS (SELECT 1 FROM qt WHERE qt.query_id = s.query_id AND qt.term = s.term) GROUP BY query_id, term),
+ more AS (SELECT query_id, term FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, first) <= 6),
+ q2 AS (SELECT * FROM qt WHERE query_id IN (SELECT query_id FROM more) UNION ALL SELECT query_id, term, 1.0::DOUBLE FROM more),
+ s2 AS (SELECT query_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / l))), 4) AS score FROM q2 JOIN tf USING (term) JOIN df USING (term), fig GROUP BY query_id, chunk_id),
+ second AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) <= 10),
+ mb AS (SELECT *, {{mm}} AS m FROM base WINDOW w AS (PARTITION BY query_id)), ms AS (SELECT *, {{mm}} AS m FROM second WINDOW w AS (PARTITION BY query_id)),
+ mix AS (SELECT query_id, chunk_id, CASE WHEN query_id IN (SELECT query_id FROM more) THEN round(0.65::DOUBLE * coalesce(mb.m, 0) + 0.35::DOUBLE * coalesce(ms.m, 0), 6) ELSE mb.score END AS score FROM mb FULL JOIN ms USING (query_id, chunk_id))"""
+SQL_PRF = SQL_PRF.replace("{mm}", "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 0.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END")
+
+
+@query(SQL_PRF + " SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC)::INT AS rank FROM mix QUALIFY rank <= 10")
 def bm25_prf_topk(spark: SparkSession, d: str) -> DataFrame:
     return sparse.search_with_feedback(docs_index(spark, d), bench_questions(spark, d), 10)
 
@@ -156,7 +167,15 @@ def stage1_rerank(spark: SparkSession, d: str) -> DataFrame:
     return fusion.no_mmr(relevance(spark, d), 18)
 
 
-@query()
+SQL_MMR = SQL_REL.replace("WITH d AS", "WITH RECURSIVE d AS", 1) + """, cand AS (SELECT query_id, array_agg(chunk_id ORDER BY rel DESC, chunk_id DESC) AS ids, array_agg(rel ORDER BY rel DESC, chunk_id DESC) AS rels, count(*) AS m FROM rel GROUP BY query_id),
+ sim AS (SELECT a.query_id, a.chunk_id AS x, b.chunk_id AS y, round(list_inner_product(u.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS s FROM rel a JOIN rel b USING (query_id) JOIN embeddings u ON u.vec_id = a.chunk_id JOIN embeddings v ON v.vec_id = b.chunk_id),
+ pick AS (SELECT query_id, 1 AS rank, ids[1] AS chunk_id, [ids[1]] AS had FROM cand
+ UNION ALL SELECT query_id, rank, chunk_id, had FROM (SELECT p.query_id, p.rank + 1 AS rank, c.chunk_id, list_append(p.had, c.chunk_id) AS had,
+ row_number() OVER (PARTITION BY p.query_id ORDER BY round(0.75::DOUBLE * c.rel - 0.25::DOUBLE * (SELECT max(s) FROM sim WHERE sim.query_id = p.query_id AND sim.x = c.chunk_id AND list_contains(p.had, sim.y)), 8) DESC, c.rel DESC, c.chunk_id DESC) AS nth
+ FROM pick p JOIN rel c ON c.query_id = p.query_id AND NOT list_contains(p.had, c.chunk_id) WHERE p.rank < 18) WHERE nth = 1)"""
+
+
+@query(SQL_MMR + " SELECT query_id, chunk_id, rank::INT AS rank FROM pick")
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
     return fusion.mmr(relevance(spark, d), vectors(spark, d), 18)
 
@@ -183,7 +202,8 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return fusion.budget(top.select("query_id", "rank", "chunk_id", "text"), 1500, T.word_count).select("query_id", "rank", "chunk_id", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(SQL_BM25 + f""", qd AS (SELECT item_id AS query_id, list_distinct({SQL_TOKENS.format(x="text")}) AS qs FROM benchmark), o AS (SELECT query_id, chunk_id, round(len(list_intersect(qs, list_distinct(toks)))::DOUBLE / greatest(len(qs), 1), 6) AS score
+ FROM r JOIN qd USING (query_id) JOIN d USING (chunk_id) WHERE rank <= 18) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC)::INT AS rank FROM o""")
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     top = sparse.search(docs_index(spark, d), bench_questions(spark, d), 18).select("query_id", "chunk_id")
     full = top.join(bench_questions(spark, d), "query_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
@@ -274,12 +294,12 @@ def html_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH m AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS status FROM pages WHERE page_id % 2 = 0)
- SELECT p.page_id, coalesce(m.url, '') AS source_url, m.status FROM pages p LEFT JOIN m USING (page_id)""")
+ SELECT p.page_id, coalesce(m.url, '') AS source_url, m.status::VARCHAR AS status FROM pages p LEFT JOIN m USING (page_id)""")
 def manifest_left_join(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").withColumn("path", F.concat(F.lit("html/"), F.col("page_id").cast("string")))
     status = F.when(F.col("page_id") % 5 == 0, 404).otherwise(200)
     some = pages.where("page_id % 2 = 0").select("url", status.alias("status"), F.col("path").alias("saved_path"), F.col("page_id").alias("line"))
-    return web.with_manifest(pages.select("page_id", "path"), some).select("page_id", "source_url", "status")
+    return web.with_manifest(pages.select("page_id", "path"), some).select("page_id", "source_url", F.col("status").cast("string").alias("status"))
 
 
 # --- analytics -------------------------------------------------------------------------------------------------------------------
@@ -328,7 +348,14 @@ def summary_by_method_type(spark: SparkSession, d: str) -> DataFrame:
     return analytics.summary(detail_rows(spark, d)).drop("evidence_proxy_rate")
 
 
-@query()
+SQL_HIT = r"""CASE question_type WHEN 'event_date' THEN regexp_matches(lb, '(^|[^\p{L}\p{N}_])((jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|nov(ember)?|dec(ember)?)|(19|20)\d{2}|\d{1,2}:\d{2}\s*(am|pm)|am|pm)([^\p{L}\p{N}_]|$)')
+ WHEN 'numeric' THEN regexp_matches(lb, '\d') WHEN 'list' THEN regexp_matches(blob, '(^|\n)\s*([-*•]|\d+\.)\s+') OR len(blob) - len(replace(blob, ',', '')) >= 3 OR len(blob) - len(replace(blob, ';', '')) >= 2
+ WHEN 'entity_location' THEN CASE WHEN regexp_matches(q, 'website|url|site|webpage|web page') THEN regexp_matches(lb, '(^|[^\p{L}\p{N}_])[a-z0-9][a-z0-9.-]+\.(com|org|edu|gov|net|io)([^\p{L}\p{N}_]|$)')
+ WHEN regexp_matches(q, 'where|located|location|address|pittsburgh') THEN contains(lb, 'pittsburgh, pa') OR regexp_matches(lb, '(^|[^\p{L}\p{N}_])\d{1,5}\s+[a-z0-9.\-''\s]{2,40}\s(st|street|ave|avenue|rd|road|blvd|boulevard|dr|drive|ln|lane|way|pkwy|parkway)([^\p{L}\p{N}_]|$)')
+ ELSE longest > 60 END ELSE longest > 80 END"""
+
+
+@query(SQL_SUMMARY + f" SELECT query_id, method, question_type, ({SQL_HIT})::INT AS evidence_proxy_hit FROM (SELECT *, lower(blob) AS lb FROM ty)")
 def evidence_proxy(spark: SparkSession, d: str) -> DataFrame:
     return detail_rows(spark, d).select("query_id", "method", "question_type", "evidence_proxy_hit")
 
