@@ -93,8 +93,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return docs.withColumn(name, fingerprint(F.col(text), k, take))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], tie: Column, per_range: int = 4096) -> DataFrame:
-    """Adds next_<column> for each of `columns`: that of the row that follows in descending order of `key`; after the last, the first.
+def with_next(docs: DataFrame, key: str, columns: list[str], tie: Column, derived: dict[str, Column], per_range: int = 4096) -> DataFrame:
+    """Adds `derived`, and next_<column> for each of `columns` and `derived`: that of the row that follows in descending order of `key`; after the last, the first.
 
     Rows are dealt to ranges of the key, whose bounds are quantiles; each range is ordered by itself and closed with a copy of the
     next range's first row. Ties of the key go by `tie`; null keys come last.
@@ -115,9 +115,10 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tie: Column, per_ra
     every = W.partitionBy().orderBy("_range")
     ends = heads.select("_range", F.coalesce(F.lead("c").over(every), F.first("c").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("c"))
     closing = ends.select("_range", *[F.col(f"c.{c}").alias(c) for c in columns], F.lit(1).alias("_last"))
-    rows = ranged.withColumn("_last", F.lit(0)).unionByName(closing, allowMissingColumns=True)
+    # Derived once per row and closing copy, here, and not for all rows that might be a range's first.
+    rows = ranged.withColumn("_last", F.lit(0)).unionByName(closing, allowMissingColumns=True).withColumns(derived)
     within = W.partitionBy("_range").orderBy("_last", *order)
-    out = rows.withColumns({f"next_{c}": F.lead(c).over(within) for c in columns})
+    out = rows.withColumns({f"next_{c}": F.lead(c).over(within) for c in [*columns, *derived]})
     return out.where("_last = 0").drop("_range", "_tie", "_last")
 
 
@@ -132,8 +133,7 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     made = ["n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     body = fresh("body")
     rows = docs.drop(*made).withColumn(body, F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col(body), k, take))
-    rows = with_next(rows, key, [body, "fingerprint"], F.xxhash64(body))
+    rows = with_next(rows, key, [body], F.xxhash64(body), {"fingerprint": fingerprint(F.col(body), k, take)})
     n, half = F.length(body), F.expr(f"length({body}) div 2").cast("int")
     edited = F.concat(F.substr(F.col(body), F.lit(1), n - half), F.substr(F.col(f"next_{body}"), F.lit(1), half))
     rows = rows.withColumns({"n_chars": n.cast("long"), "edited": edited})
