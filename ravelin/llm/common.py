@@ -31,7 +31,8 @@ def ascii_lower(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The words of a text, in order; none for a null text."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE_CLASS), lambda w: w != "")
+    bare = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS))
 
 
 def word_count(c: Column) -> Column:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -67,28 +68,50 @@ def word_class(word: Column, single: list[str]) -> Column:
     return F.when(word.isin(single), own).otherwise(tail).cast("int") if single else tail.cast("int")
 
 
+class Lexicon:
+    """What a task has worked out about the words it met: class, bucket and count of each; number 0 is the end. Starts anew when full."""
+
+    def __init__(self, model: Model, most: int = 400_000):
+        self.model, self.most = model, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str | None, int] = {None: 0}
+        self.kind, self.slot, self.count = np.array([END]), np.array([0]), np.array([self.model.ends])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.forget()
+        known, before, m = self.known, len(self.known), self.model
+        out = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        new = list(islice(known, before, None))
+        if new:
+            raw = [w.encode() for w in new]
+            kind = [m.single[w] if w in m.single else zlib.crc32(b[-SUFFIX_BYTES:]) % SUFFIXES + FREQUENT for w, b in zip(new, raw, strict=True)]
+            self.kind = np.concatenate([self.kind, np.array(kind, np.int64)])
+            self.slot = np.concatenate([self.slot, np.array([zlib.crc32(b) % (BUCKETS - 1) + 1 for b in raw], np.int64)])
+            self.count = np.concatenate([self.count, np.array([m.heads.get(w, 0) for w in new], np.int64)])
+        return out
+
+
 class Tokens:
     """Texts' words as arrays, an end after each text's last word."""
 
-    def __init__(self, model: Model, lists: pa.ListArray):
+    def __init__(self, lexicon: Lexicon, lists: pa.ListArray):
         coded = lists.flatten().dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
-        single = model.single
-        raw = [w.encode() for w in vocabulary]
-        kind = np.array([single[w] if w in single else zlib.crc32(b[-SUFFIX_BYTES:]) % SUFFIXES + FREQUENT for w, b in zip(vocabulary, raw, strict=True)] + [END], np.int64)
-        slot = np.array([zlib.crc32(b) % (BUCKETS - 1) + 1 for b in raw] + [0], np.int64)
+        number = lexicon.numbers(coded.dictionary.to_pylist())
         at = lists.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         n = len(lists)
         self.ends = at + np.arange(n + 1)  # of each text's tokens
-        which = np.full(self.ends[-1], len(vocabulary), np.int64)
+        which = np.zeros(self.ends[-1], np.int64)
         word = np.ones(len(which), bool)
         word[self.ends[1:] - 1] = False
-        which[word] = coded.indices.to_numpy()
-        self.which, self.vocabulary, self.kind = which, vocabulary, kind[which]
+        which[word] = number[coded.indices.to_numpy()] if len(number) else 0
+        self.kind, self.count = lexicon.kind[which], lexicon.count[which]
         place = np.arange(len(which)) - np.repeat(self.ends[:-1], np.diff(self.ends))
         back = lambda x, k, none: np.where(place >= k, np.concatenate([np.full(k, none), x])[: len(x)], none)
-        buckets = slot[which]
+        buckets = lexicon.slot[which]
         pair = back(self.kind, 1, CLASSES) * (CLASSES + 1) + back(self.kind, 2, CLASSES)
         self.rows = np.stack([ROWS[0] + back(buckets, 1, 0), ROWS[1] + back(buckets, 2, 0), ROWS[2] + pair])
 
@@ -134,10 +157,10 @@ def _gradient_round(model: Model, lists: DataFrame) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
         mine = replace(base, weights=base.weights.copy())
-        squares, seen = np.zeros(ROWS[-1], np.float32), np.zeros(ROWS[-1], np.float32)
+        squares, seen, lexicon = np.zeros(ROWS[-1], np.float32), np.zeros(ROWS[-1], np.float32), Lexicon(base)
         for batch in batches:
             for some in list_chunks(batch.column(0), 1 << 18):
-                follow(mine, Tokens(mine, some), squares, seen)
+                follow(mine, Tokens(lexicon, some), squares, seen)
         if seen.any():
             change = (mine.weights - base.weights) * seen[:, None]
             cut = np.array_split(np.arange(ROWS[-1]), PARTS)
@@ -197,17 +220,16 @@ def with_scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     @F.arrow_udf("struct<n long, known long, head double, open double, cls double>")
     def sweep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
+        lexicon = Lexicon(m)
         fields = ["n", "known", "head", "open", "cls"]
         for lists in batches:
             parts = [pa.array([], pa.struct([(f, pa.int64() if f in ("n", "known") else pa.float64()) for f in fields]))]
             for some in list_chunks(lists, 1 << 18):
-                t = Tokens(m, some)
-                c = np.array([m.heads.get(w, 0) for w in t.vocabulary] + [m.ends], np.int64)
-                at = t.which
-                log = np.log10(c + 1.0)
-                free = np.append(np.array([w not in m.single for w in t.vocabulary], bool), False)
-                values = [np.diff(t.ends), sums_between((c > 0).astype(np.int64)[at], t.ends), sums_between(log[at], t.ends)]
-                values += [sums_between((log * free)[at], t.ends), sums_between(class_scores(m, t) / np.log(10) - m.norm[t.kind], t.ends)]
+                t = Tokens(lexicon, some)
+                log = np.log10(t.count + 1.0)
+                free = (t.kind >= FREQUENT) & (t.kind < END)
+                values = [np.diff(t.ends), sums_between((t.count > 0).astype(np.int64), t.ends), sums_between(log, t.ends)]
+                values += [sums_between(log * free, t.ends), sums_between(class_scores(m, t) / np.log(10) - m.norm[t.kind], t.ends)]
                 parts.append(pa.StructArray.from_arrays([pa.array(v) for v in values], fields))
             yield pa.concat_arrays(parts)
 

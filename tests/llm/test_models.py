@@ -168,7 +168,7 @@ def test_probabilities_add_up(spark, odd):
     model = maxent.train(odd.where("text is not null"))
     histories = [["abc"], ["one", "word"], []]
     lists = pa.array([h for h in histories], pa.list_(pa.string()))
-    t = maxent.Tokens(model, lists)
+    t = maxent.Tokens(maxent.Lexicon(model), lists)
     z = sum(model.weights[r] for r in t.rows) + model.bias
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
