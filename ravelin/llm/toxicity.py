@@ -38,7 +38,7 @@ class Settings:
     window: int = 4
     step: int = 3
     thresholds: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7, 8)
-    level: int = 6
+    level: int = 8
 
 
 @dataclass
@@ -169,10 +169,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _vocabulary(uses: dict[str, int], size: int) -> bytes:
-    """A dictionary trained on lines of these words, each as often as it has contexts (up to 30), in shuffled order."""
+    """A dictionary trained on lines of these words, each as often as it has contexts (up to 30), in shuffled order; after it each word once.
+
+    The trainer cuts segments without regard to words. The words that follow are whole, the most used last, where referring is cheapest.
+    """
     bag = [w for w, n in uses.items() for _ in range(min(n, 30))]
     np.random.default_rng(5).shuffle(bag)
-    return _dictionary([f" {' '.join(bag[i : i + 6])} ".encode() for i in range(0, len(bag), 6)], size, 16) if bag else b" "
+    lines = [f" {' '.join(bag[i : i + 6])} ".encode() for i in range(0, len(bag), 6)]
+    return _dictionary(lines, size, 16) + f" {' '.join(sorted(uses, key=lambda w: (uses[w], w)))} ".encode() if bag else b" "
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
