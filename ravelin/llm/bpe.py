@@ -256,7 +256,7 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Codec:
     """Encodes and decodes pre-split texts; words met before in the task are looked up."""
 
-    def __init__(self, automaton: Automaton, remember: int = 400_000):
+    def __init__(self, automaton: Automaton, remember: int = 200_000):
         self.a, self.remember = automaton, remember
         self.forget()
 
@@ -286,8 +286,8 @@ class Codec:
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         size = self.a.spelt_at[ids + 1] - self.a.spelt_at[ids]
-        raw = self.a.spelt[spread(self.a.spelt_at[ids], size)].tobytes()
         at = np.concatenate([[0], np.cumsum(size)])[ends].tolist()
+        raw = self.a.spelt[spread(self.a.spelt_at[ids], size)].tobytes()
         return [raw[i:j].decode("utf-8", "replace") for i, j in zip(at, at[1:])]
 
 

@@ -64,7 +64,7 @@ def fresh(prefix: str) -> str:
     return f"__{prefix}_{uuid4().hex[:8]}"
 
 
-def list_chunks(lists: pa.ListArray, limit: int = 1 << 20) -> Iterator[pa.ListArray]:
+def list_chunks(lists: pa.ListArray, limit: int = 1 << 18) -> Iterator[pa.ListArray]:
     """Slices of whole lists of about `limit` elements each."""
     ends, at, n = lists.offsets.to_numpy(), 0, len(lists)
     while at < n:
@@ -73,7 +73,7 @@ def list_chunks(lists: pa.ListArray, limit: int = 1 << 20) -> Iterator[pa.ListAr
         at = to
 
 
-def text_chunks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[pa.Array]:
+def text_chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
     """Slices of whole texts of about `limit` bytes each, so that what is built per slice stays small."""
     n = len(texts)
     if not n:
