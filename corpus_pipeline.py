@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import bpe, language, mixing, simhash, toxicity
+from ravelin.llm import bpe, language, mixing, nearcopies, toxicity
 from ravelin.llm.common import durable, fresh, table
 from ravelin.llm.queries import TOKENIZER
 
@@ -30,12 +30,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id; of repeated rows of it, one.
+    """Keeps of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) the document with the smallest id; of repeated rows of it, one.
 
     Documents without an id stay unless their whole group has ids, one of each text.
     """
     group = fresh("group")
-    grouped = simhash.with_components(docs, fingerprint=fresh("print"), component=group, keep=["doc_id"])
+    grouped = nearcopies.with_groups(docs, group=group, shingle=5, least=0.8, keep=["doc_id"])
     kept = grouped.where(F.col("doc_id").eqNullSafe(F.col(group))).select(F.col("doc_id").alias(group)).distinct()
     found = docs.join(kept, docs["doc_id"].eqNullSafe(kept[group]), "left_semi")
     return found.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
