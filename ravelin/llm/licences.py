@@ -3,12 +3,12 @@
 Texts and templates are read as lower-case runs of letters and digits, in shingles of five words; a template with fewer words is one
 shingle of its own length. Positions whose shingle is in no template can add nothing to any containment, so they are dropped by a
 join with the templates' shingles, whose number the template list bounds, before anything is shuffled. What is left is cut into
-overlapping windows; MinHash bands of a window's shingles retrieve templates; then the exact share of a template's shingles that
-stands in one stretch of the text decides.
+overlapping windows; MinHash bands of a window's shingles retrieve templates longer than a window; then the exact share of a
+template's shingles that stands in one stretch of the text decides.
 
 Bands of one row make retrieval near certain: with 24 of them, a window and a template piece with a Jaccard similarity of 0.3 meet
-with probability 1 - 0.7 ** 24 > 0.9998. A notice alone in its window has similarity 1 to its template, one of four different ones of
-equal length 0.25 (0.998).
+with probability 1 - 0.7 ** 24 > 0.9998. A template of WINDOW shingles or fewer could drown in a window that it shares with a longer
+notice, so each of its shingles retrieves it: none of them is missed.
 """
 
 from __future__ import annotations
@@ -102,10 +102,13 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tem
     runs = F.flatten(F.array(*[F.transform(shingles(F.col(w), k), lambda h, i: F.struct(i.alias("place"), h.alias("h"))) for k in sizes or [SHINGLE]]))
     places = split.select(*kept, "_row", F.explode(runs).alias("r")).select(*kept, "_row", F.col("r.place").alias("place"), F.col("r.h").alias("h"))
     hits = durable(places.join(vocabulary, "h"))
-    # Every start of a template piece, against windows of the text that begin at multiples of STEP.
-    pieces = windowed(known, ["template"], 4).select("template", "band", "key").distinct()
+    owners = known.select("template", "h", "n").distinct()
+    # A template no longer than a window may share it with a longer notice: any one shingle retrieves it.
+    short = hits.join(owners.where(F.col("n") <= WINDOW), "h")
+    # Every start of a longer template's piece, against windows of the text that begin at multiples of STEP.
+    pieces = windowed(known.where(F.col("n") > WINDOW), ["template"], 4).select("template", "band", "key").distinct()
     found = windowed(hits, ["_row"], STEP).join(pieces, ["band", "key"]).select("_row", "template").distinct()
-    held = hits.join(known.select("template", "h", "n").distinct(), "h").join(found, ["_row", "template"])
+    held = short.unionByName(hits.join(owners, "h").join(found, ["_row", "template"]))
     # Stretches differ in length by template: one frame per length in use.
     lengths = [r["n"] for r in known.select("n").distinct().collect()]
     per = W.partitionBy("_row", "template").orderBy("place")
