@@ -62,7 +62,7 @@ STAGES = [
     ("bpe_tokens", tokenize),
 ]
 
-#: None: trained models, hashes and a learned tokenizer are beyond SQL; tests hold the stages against brute force.
+#: None: trained models, hashes and a learned tokenizer are beyond SQL; tests hold near-dedup against brute force, not yet the other stages.
 ORACLE_SQL = None
 
 
