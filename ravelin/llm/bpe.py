@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import fresh, list_chunks
+from ravelin.llm.common import HashTable, fresh, list_chunks
 
 #: Words longer than this are walked one by one instead of in step with others.
 LONG_WORD = 48
@@ -39,39 +39,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class HashTable:
-    """Open addressing over int64 keys, probed for whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * max(len(keys), 1)).bit_length() + 1)
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
-        left, at = np.arange(len(keys)), self.slot(keys)
-        while len(left):
-            free = left[self.keys[at] < 0]
-            spot = at[self.keys[at] < 0]
-            spot, first = np.unique(spot, return_index=True)
-            self.keys[spot], self.values[spot] = keys[free[first]], values[free[first]]
-            stay = self.keys[at] != keys[left]
-            left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values, or -1."""
-        at = self.slot(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.values[at], -1)
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at[open_]]
-            hit = found == keys[open_]
-            out[open_[hit]] = self.values[at[open_[hit]]]
-            open_ = open_[~hit & (found >= 0)]
-        return out
-
-
 class Automaton:
     """Arc labels are numbered 0-255 for bytes and then in merge order; `ids` maps them to the vocabulary's ids."""
 

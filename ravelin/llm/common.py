@@ -104,3 +104,81 @@ def sums_between(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, ends[full], axis=0, dtype=out.dtype)
     return out
+
+
+#: An odd factor whose powers number the places of a byte in a word.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _power(name: str, factor: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of a factor, kept for the next call."""
+    if len(_powers[name]) < n:
+        with np.errstate(over="ignore"):
+            _powers[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 21), factor)]), dtype=np.uint64)
+    return _powers[name][:n]
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts' words, A-Z lower-cased, one after another: a hash (above 0, 63 bits), the last three bytes as a number, and len + 1 offsets.
+
+    The hash is a polynomial in the bytes, mixed: differences of one running sum, so no word is cut out. Two given words share it with
+    probability 2 ** -63.
+    """
+    raw, ends = text_bytes(texts)
+    raw, n = _LOWERED[raw], len(raw)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    solid = ~_BLANK[raw]
+    first, last = np.empty(n, bool), np.empty(n, bool)
+    first[0], last[-1] = True, True
+    first[1:], last[:-1] = ~solid[:-1], ~solid[1:]
+    full = ends[1:] > ends[:-1]
+    first[ends[:-1][full]], last[ends[1:][full] - 1] = True, True
+    start, stop = np.flatnonzero(solid & first), np.flatnonzero(solid & last)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_power("up", FACTOR, n) * (raw + np.uint64(1)), out=total[1:])
+        h = (total[stop + 1] - total[start]) * _power("down", _INVERSE, n)[start]
+        h = (h ^ (h >> np.uint64(32))) * FACTOR
+    h = np.maximum(((h ^ (h >> np.uint64(29))) >> np.uint64(1)).astype(np.int64), 1)
+    size = stop - start
+    byte = lambda k: np.where(size >= k, raw[np.maximum(stop - k, 0)].astype(np.int64) + 1, 0)
+    return h, raw[stop].astype(np.int64) + (byte(1) << 9) + (byte(2) << 18), np.searchsorted(start, ends)
+
+
+class HashTable:
+    """Open addressing over int64 keys of 0 or more, probed for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * max(len(keys), 1)).bit_length() + 1)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = left[self.keys[at] < 0]
+            spot = at[self.keys[at] < 0]
+            spot, first = np.unique(spot, return_index=True)
+            self.keys[spot], self.values[spot] = keys[free[first]], values[free[first]]
+            stay = self.keys[at] != keys[left]
+            left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, or -1."""
+        at = self.slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out

@@ -166,18 +166,21 @@ def test_probabilities_add_up(spark, odd):
     import pyarrow as pa
 
     model = maxent.train(odd.where("text is not null"))
-    histories = [["abc"], ["one", "word"], []]
-    lists = pa.array([h for h in histories], pa.list_(pa.string()))
-    t = maxent.Tokens(maxent.Lexicon(model), lists)
-    z = sum(model.weights[r] for r in t.rows) + model.bias
+    t = maxent.Tokens(maxent.Lexicon(model), pa.array(["abc", "one word", ""]))
+    z = sum(model.weights[r + f] for r, f in zip(t.rows, maxent.ROWS[:4], strict=True)) + model.bias
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     chosen = np.exp(maxent.class_scores(model, t))
     assert np.allclose(chosen, p[np.arange(len(t.kind)), t.kind], atol=1e-5)
-    counts = {r["word"]: r["c"] for r in model.counts.collect()}
-    for k in range(maxent.FREQUENT, maxent.END):
-        of = [counts[r["word"]] for r in model.counts.select("word", maxent.word_class(F.col("word"), list(model.single)).alias("k")).where(F.col("k") == k).collect()]
-        assert math.isclose(sum(c + 1 for c in of) + 1, 10 ** model.norm[k], rel_tol=1e-9)
+    z = model.fine[t.fine_rows[0]] + model.fine_bias[t.suffix]
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    assert np.allclose(np.exp(maxent.part_scores(model, t)), p[np.arange(len(t.part)), t.part], atol=1e-5)
+    sums = {}
+    for r in model.counts.collect():
+        if r["h"] not in model.heads[: maxent.FREQUENT]:
+            k = (r["k"], r["h"] >> 59 & maxent.SUBS - 1)
+            sums[k] = sums.get(k, 0) + r["c"] + 1
+    assert all(math.isclose(sums.get((k, s), 0) + 1, 10 ** model.norm[k, s], rel_tol=1e-9) for k in range(maxent.SUFFIXES) for s in range(maxent.SUBS))
 
 
 def test_pipeline(spark, tables):
