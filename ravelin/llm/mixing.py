@@ -12,21 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import durable, word_count
+from ravelin.llm.common import durable, fresh, word_count
 
 #: Rows that one task orders at a time, in the two-level running sums and ranks.
 CHUNK = 2_000
 
 
 def targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per source: _source, sid (1, 2, ... by code point, null last), source_size, target.
+    """One row per source: _source, sid (1, 2, ... by code point, null last), docs (with words), source_size, target.
 
     The weights repeat over the sources and share all words; a target stops at `most` times its source's size, and what is over is
     shared again by weight until none is above. That is the level l at which min(most * size, weight * l) adds up to all words; with
     the sources in order of size per weight, those below the level come first, so running sums find it. The windows run over the
     summed table of sources, a row each.
     """
-    s = sizes.groupBy("_source").agg(F.sum("size").alias("source_size"))
+    s = sizes.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs"))
     s = s.withColumn("sid", F.row_number().over(W.orderBy(F.col("_source").asc_nulls_last())))
     s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("sid") - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(most)))
@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, most: float = 3.0, weights: tuple[float, ...] = (1
     s = s.withColumn("level", left / F.sum("w").over(after)).withColumn("capped", F.col("cap") <= F.col("w") * F.col("level"))
     level = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("w"), "sid", "level"))).over(all_rows)["level"]
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("found")))
-    return s.withColumn("found", level).select("_source", "sid", "source_size", target.alias("target"))
+    return s.withColumn("found", level).select("_source", "sid", "docs", "source_size", target.alias("target"))
 
 
 def running(df: DataFrame, group: str, chunk: Column, order: list, value: Column, name: str) -> DataFrame:
@@ -70,37 +70,42 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = 1024, most: int = 3,
-        weights: tuple[float, ...] = (1, 2, 3), keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        weights: tuple[float, ...] = (1, 2, 3), keep: list[str] | None = None, names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents with their part in the mix, and the mix itself.
 
     The first result has the columns of `docs` (or those in `keep`) and _row, size, source_size, target and taken: the words of the
     document and of its source, the source's target, and the words that the mix takes of the document, repeats counted, which are
-    at most `most` times its size. The second lists what each slot takes: slot, _row, pass, from_word, to_word.
+    at most `most` times its size. `names` gives them other names. The second lists what each slot takes: slot, _row, pass, from_word,
+    to_word.
 
     A source's taken words are its target rounded to whole words. A null text has no words and is never taken, nor is an empty
-    one; a null source is a source, last in order. Repeated rows are documents of their own. Ties of the shuffle go by key and
+    one; a null source is a source, last in order. Repeated rows are documents of their own. Ties of the shuffle go by key, text and
     size, so reruns agree. Columns of `docs` named like the new ones are replaced. An empty table gives empty results.
     """
-    made = ["_row", "_source", "size", "source_size", "target", "taken"]
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in made]
-    rows = docs.withColumns({"size": word_count(F.col(text)), "_source": F.col(source), "_row": F.monotonically_increasing_id()})
-    extra = [] if key in kept else [key]
-    rows = durable(rows.select(*kept, *extra, "_row", "_source", "size"))
-    sizes = rows.select("_row", F.col(key).alias("_key"), "_source", "size")
+    named = {c: c for c in ("_row", "size", "source_size", "target", "taken")} | (names or {})
+    kept = [c for c in (keep if keep is not None else docs.columns) if c not in named.values()]
+    row, own, hashed, of, size = (fresh(c) for c in ("row", "key", "hash", "source", "size"))
+    facts = {row: F.monotonically_increasing_id(), own: F.col(key), hashed: F.xxhash64(F.col(key), F.col(text), F.lit(11)), of: F.col(source), size: word_count(F.col(text))}
+    rows = durable(docs.withColumns(facts).select(*kept, *facts))
+    plain = {row: "_row", own: "_key", hashed: "_hash", of: "_source", size: "size"}
+    sizes = rows.select(*[F.col(a).alias(b) for a, b in plain.items()])
     goal = targets(sizes, most, weights).withColumn("words", F.least(F.round("target"), F.col("source_size") * most).cast("long"))
     goal = goal.withColumn("quota", F.ceil(F.col("words") / block).cast("long"))
     goal = durable(goal.withColumn("first", F.sum("quota").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)) - F.col("quota")))
     slots = goal.agg(F.sum("quota")).first()[0] or 0
-    chunks = max(1, sizes.count() // CHUNK)
-    named = sizes.join(goal.select(F.col("_source").alias("_s"), "sid", "source_size", "words"), F.col("_source").eqNullSafe(F.col("_s")))
-    named = named.where("size > 0").withColumn("_hash", F.xxhash64("_key", F.lit(11)))
-    stream = running(named, "sid", F.pmod("_hash", F.lit(chunks)), ["_hash", "_key", "size", "_row"], F.col("size"), "start")
+    # As many chunks as a source's rows ask for, so that no chunk of any source is much larger than another.
+    its = goal.select(F.col("_source").alias("_s"), "sid", "source_size", "words", F.greatest(F.lit(1), F.ceil(F.col("docs") / CHUNK)).alias("chunks"))
+    stream = sizes.where("size > 0").join(its, F.col("_source").eqNullSafe(F.col("_s")))
+    stream = running(stream, "sid", F.pmod(F.col("_hash"), F.col("chunks")), ["_hash", "_key", "size", "_row"], F.col("size"), "start")
     reads = stream.withColumn("pass", F.explode(F.expr(f"sequence(0, {most - 1})"))).withColumn("from_", F.col("pass") * F.col("source_size") + F.col("start"))
     reads = reads.where("from_ < words").withColumn("to_", F.least(F.col("from_") + F.col("size"), "words"))
     cut = reads.withColumn("rank", F.explode(F.expr(f"sequence(from_ div {block}, (to_ - 1) div {block})")))
     lo, hi = F.greatest("from_", F.col("rank") * block), F.least("to_", (F.col("rank") + 1) * block)
     parts = cut.select("_row", "sid", "rank", "pass", (lo - F.col("from_")).alias("from_word"), (hi - F.col("from_")).alias("to_word"))
     mixed = parts.join(schedule(goal.select("sid", "first", "quota"), slots), ["sid", "rank"]).select("slot", "_row", "pass", "from_word", "to_word")
-    taken = mixed.groupBy(F.col("_row").alias("_r")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    out = rows.join(goal.select(F.col("_source").alias("_s"), "source_size", "target"), F.col("_source").eqNullSafe(F.col("_s"))).join(taken, F.col("_row") == F.col("_r"), "left")
-    return out.select(*kept, "_row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), mixed
+    got, aim, total, taken = (fresh(c) for c in ("source", "target", "total", "taken"))
+    sums = mixed.groupBy(F.col("_row").alias(row)).agg(F.sum(F.col("to_word") - F.col("from_word")).alias(taken))
+    per = goal.select(F.col("_source").alias(got), F.col("source_size").alias(total), F.col("target").alias(aim))
+    out = rows.join(per, F.col(of).eqNullSafe(F.col(got))).join(sums, row, "left")
+    made = {"_row": F.col(row), "size": F.col(size), "source_size": F.col(total), "target": F.col(aim), "taken": F.coalesce(F.col(taken), F.lit(0)).cast("long")}
+    return out.select(*kept, *[c.alias(named[n]) for n, c in made.items()]), mixed

@@ -26,24 +26,28 @@ SEED = 42
 BITS = 64
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of a text's runs of `shingle` words, in order; fewer words are one run. A-Z alone are lowered, ASCII white space alone splits."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, k, digest = b" ".join(words), min(shingle, len(words)), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[: len(words) - k] + 1]).tolist()
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half the hashes; zero without any."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
-    """SimHash of each text as uint64: ASCII-lower-cased words in space-joined shingles, each with its XXH64; zero without words."""
-    out = np.zeros(len(texts), np.uint64)
-    digest = xxhash.xxh64_intdigest
-    for row, text in enumerate(texts):
-        words = (text or "").encode().lower().split()  # bytes: A-Z alone are lowered, ASCII white space alone splits
-        if not words:
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        k = min(shingle, len(words))
-        starts = np.concatenate([[0], ends[: len(words) - k] + 1]).tolist()
-        h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[row] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+    """SimHash of each text as uint64."""
+    return np.array([majority(shingle_hashes(t, shingle)) for t in texts], np.uint64)
 
 
 def covering_masks(radius: int = 2, bits: int = BITS) -> list[int]:
@@ -122,14 +126,13 @@ def with_components(docs: DataFrame, key: str = "doc_id", text: str = "text", fi
     Columns named like the new ones are replaced; an empty table stays empty. Work: a fixed number of rows per distinct fingerprint.
     `keep` lists the columns of `docs` to carry to the result (all by default); what it leaves out, such as the texts, is not stored.
     """
-    f, root = fresh("f"), fresh("root")
-    rows = docs.withColumn(f, simhash3(F.col(text)))
-    rows = durable(rows if keep is None else rows.select(*keep, f))
-    distinct = rows.groupBy(F.col(f).alias("f")).agg(F.min(key).alias("least"))
+    f, root, own, low = fresh("f"), fresh("root"), fresh("key"), fresh("least")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (fingerprint, component)]
+    rows = durable(docs.withColumns({f: simhash3(F.col(text)), own: F.col(key)}).select(*kept, own, f))
+    distinct = rows.groupBy(F.col(f).alias("f")).agg(F.min(own).alias("least"))
     found = components(links(distinct.select("f"), radius))
     joined = distinct.join(found, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("root", "f").alias(root))
-    named = joined.groupBy(root).agg(F.min("least").alias("__least"))
-    lookup = joined.select("f", root).join(named, root).select(F.col("f").alias(f), "__least")
+    named = joined.groupBy(root).agg(F.min("least").alias(low))
+    lookup = joined.select("f", root).join(named, root).select(F.col("f").alias(f), low)
     hexed = F.lower(F.lpad(F.hex(F.col(f)), 16, "0"))
-    out = rows.join(lookup, f).withColumns({fingerprint: hexed, component: F.col("__least")})
-    return out.drop(f, "__least")
+    return rows.join(lookup, f).select(*kept, hexed.alias(fingerprint), F.col(low).alias(component))
