@@ -30,28 +30,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) the document with the smallest id; of repeated rows of it, one.
+    """Keeps of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) one document, that with the smallest id.
 
-    Documents without an id stay unless their whole group has ids, one of each text.
+    Of several with that id, the one with the smallest hash of its text; of equal rows of it, one. Ids count as larger if null. What
+    stays is decided on ids and hashes; texts move once, to meet the decision.
     """
-    group = fresh("group")
-    grouped = nearcopies.with_groups(docs, group=group, shingle=5, least=0.8, keep=["doc_id"])
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col(group))).select(F.col("doc_id").alias(group)).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept[group]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    root, n, m = fresh("root"), fresh("times"), fresh("m")
+    row = [fresh("row"), fresh("row")]  # 128 bits that name an id and its text
+    marked = docs.withColumns({r: F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed)) for r, seed in zip(row, (1, 2), strict=True)})
+    rows = nearcopies.with_roots(marked, "text", root, shingle=5, least=0.8, keep=["doc_id", *row])
+    distinct = rows.groupBy(root, *row).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias(n))
+    best = distinct.groupBy(root).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *row, n)).alias(m))
+    kept = durable(best.select(*[F.col(f"{m}.{c}").alias(c) for c in (*row, n)]))
+    found = marked.join(kept, row)
+    return found.where(F.col(n) == 1).unionByName(found.where(F.col(n) > 1).dropDuplicates(row)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Brings the sources to their target weights: each document as often as the mix takes it, rounded to whole documents."""
-    mixed, _ = mixing.mix(docs)
-    times = F.round(F.col("taken") / F.col("size")).cast("int")
-    return mixed.where("size > 0").withColumn("_times", times).where("_times > 0").withColumn("_times", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    size, taken, times = fresh("size"), fresh("taken"), fresh("times")
+    mixed, _ = mixing.mix(docs, names={"size": size, "taken": taken})
+    mixed = mixed.where(F.col(size) > 0).withColumn(times, F.round(F.col(taken) / F.col(size)).cast("int")).where(F.col(times) > 0)
+    return mixed.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token_ids, and n_tokens, ids_sha256 and decoded_sha256, which show the round trip."""
-    out = bpe.with_tokens(docs, TOKENIZER)
-    return out.select(*docs.columns, "token_ids", *bpe.digests("token_ids", "decoded"))
+    """Adds token_ids, and n_tokens, ids_sha256 and decoded_sha256, which show the round trip; columns of these names are replaced."""
+    ids, decoded = fresh("ids"), fresh("decoded")
+    made = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    out = bpe.with_tokens(docs, TOKENIZER, tokens=ids, decoded=decoded)
+    return out.select(*[c for c in docs.columns if c not in made], F.col(ids).alias("token_ids"), *bpe.digests(ids, decoded))
 
 
 STAGES = [
