@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text, one on the vocabulary of toxic text: the words that stand in many
-different contexts in toxic documents and rarely in ordinary ones. A document is cut into overlapping windows of a few words; each
-is compressed with the ordinary dictionary alone and with the toxic one laid over it. How many bytes the toxic one saves, counted
-against several thresholds, is turned into a probability by a logistic curve that is calibrated on documents kept from training.
+Two zstandard dictionaries are trained, one on passages of ordinary documents, one on passages of toxic documents: of these, the ones
+that tell, as runs of bytes in them recur in many toxic passages and hardly in ordinary ones. A document is cut into overlapping windows
+of a few words; each is compressed with either dictionary. The windows are counted by how much the toxic dictionary shortens them,
+against their plain length and against the ordinary dictionary, at several thresholds; the counts are turned into a probability by a
+logistic curve that is calibrated on documents kept from training.
 """
 
 from __future__ import annotations
@@ -18,28 +19,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import fresh, sums_between, text_chunks
+from ravelin.llm.common import durable, fresh, sums_between, text_chunks
 
 #: Bytes that part words: ASCII white space and punctuation, but for the apostrophe.
 PARTS = bytes(b for b in range(128) if not chr(b).isalnum() and chr(b) != "'")
 PLAIN = bytes.maketrans(PARTS, b" " * len(PARTS))
-WORD_BREAK = r"[\x00-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
 class Settings:
-    per_class: int = 9000  # documents of each label that training may take, by hash order; a documented bound
-    ordinary_windows: int = 12_000
+    per_class: int = 9000  # documents of each label that training may take, by hash order: a documented bound
+    passages: int = 300_000  # distinct passages of each label that the dictionaries may be trained on, by hash order: a documented bound
+    passage_bytes: int = 200  # longer passages, of words beyond any dictionary's use, train nothing; they are scored like all
     ordinary_bytes: int = 8192
-    toxic_words: int = 600
-    toxic_bytes: int = 4096
-    least_contexts: int = 4
+    toxic_bytes: int = 6144
+    run: int = 6  # bytes of the runs that tell toxic passages
+    least_passages: int = 8
     least_ratio: float = 8.0
-    window: int = 4
-    step: int = 3
-    thresholds: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7, 8)
+    window: int = 3
+    step: int = 2
+    shorter: tuple[int, ...] = (3, 4, 5, 6, 7, 8, 9, 10)  # bytes less than the plain window
+    closer: tuple[int, ...] = (-3, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7)  # bytes less than with the ordinary dictionary
+    both: tuple[tuple[int, int], ...] = ((4, -1), (4, 1), (4, 3), (6, -1), (6, 1), (6, 3), (8, -1), (8, 1), (8, 3))
     level: int = 8
 
+    @property
+    def width(self) -> int:
+        return len(self.shorter) + len(self.closer) + len(self.both) + 1
+
 
 @dataclass
 class Toxicity:
@@ -49,9 +56,9 @@ class Toxicity:
     settings: Settings
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        """Of the ordinary dictionary, and of the toxic one over it."""
+        """Of the ordinary dictionary and of the toxic one."""
         out = []
-        for content in (self.ordinary, self.ordinary + self.toxic):
+        for content in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=self.settings.level)
             out.append(zstandard.ZstdCompressor(level=self.settings.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
@@ -78,16 +85,17 @@ def windows(texts: list[str], size: int, step: int) -> tuple[bytes, np.ndarray,
 
 
 def features(texts: list[str], tools: list[zstandard.ZstdCompressor], s: Settings) -> np.ndarray:
-    """Of each text: for each threshold, the log of 1 + the windows that the toxic dictionary shortens by as much; the log of their number."""
+    """Of each text: for each threshold, the log of 1 + the windows that reach it; the log of 1 + their number."""
     raw, spans, n = windows(texts, s.window, s.step)
-    counts = np.zeros((len(texts), len(s.thresholds) + 1))
+    counts = np.zeros((len(texts), s.width))
     if len(spans):
         segments = zstandard.BufferWithSegments(raw, spans.tobytes())
-        plain, toxic = ([len(x) for x in c.multi_compress_to_buffer(segments, threads=0)] for c in tools)
-        saved = np.array(plain) - np.array(toxic)
+        ordinary, toxic = (np.array([len(x) for x in c.multi_compress_to_buffer(segments, threads=0)]) for c in tools)
+        shorter, closer = spans[:, 1].astype(np.int64) - toxic, ordinary - toxic
         ends = np.concatenate([[0], np.cumsum(n)])
-        for k, t in enumerate(s.thresholds):
-            counts[:, k] = sums_between((saved >= t).astype(np.int64), ends)
+        reached = [shorter >= t for t in s.shorter] + [closer >= t for t in s.closer] + [(shorter >= a) & (closer >= b) for a, b in s.both]
+        for k, r in enumerate(reached):
+            counts[:, k] = sums_between(r.astype(np.int64), ends)
         counts[:, -1] = n
     return np.log1p(counts)
 
@@ -99,8 +107,8 @@ def feature_udf(model, s: Settings, score: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tools = model.value.compressors()
         for texts in batches:
-            rows = [np.zeros((0, len(s.thresholds) + 1))]
-            for some in text_chunks(pc.utf8_lower(texts.fill_null(""))):
+            rows = [np.zeros((0, s.width))]
+            for some in text_chunks(pc.utf8_lower(texts.fill_null("")), 1 << 19):
                 rows.append(features(some.to_pylist(), tools, s))
             x = np.concatenate(rows)
             yield pa.array(model.value.probability(x)) if score else pa.array(list(x), pa.list_(pa.float64()))
@@ -122,11 +130,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
+def passage_udf(s: Settings):
+    """An Arrow UDF of a text's windows of plain bytes."""
+
+    @F.arrow_udf("array<binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [pa.array([], pa.list_(pa.binary()))]
+            for some in text_chunks(pc.utf8_lower(texts.fill_null("")), 1 << 19):
+                raw, spans, n = windows(some.to_pylist(), s.window, s.step)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array([raw[a : a + b] for a, b in spans.tolist()], pa.binary())))
+            yield pa.concat_arrays(parts)
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", settings: Settings | None = None) -> Toxicity:
     """Learns from documents that `labels` marks 0 or 1; other labels and nulls are left out, and a document marked both ways counts as toxic.
 
-    At most `per_class` documents a label are taken, those with the smallest hash of their id; a third of them calibrates. Without
-    documents of both labels, the score is the share of toxic ones (0 if none at all).
+    At most `per_class` documents a label are taken, those with the smallest hash of their id; a quarter of them calibrates, the others
+    train the dictionaries with at most `passages` of their whole texts' distinct passages a label, by hash. Of rows with one id, one
+    calibrates. Without documents of both labels, the score is the share of toxic ones (0 if none at all).
     """
     s = settings or Settings()
     marks = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(toxic).alias("y"))
@@ -134,55 +159,64 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     prior = totals.get(1, 0) / max(sum(totals.values()), 1)
     ranked = [marks.where(F.col("y") == y).withColumn("h", F.xxhash64(F.col(key), F.lit(3))).orderBy("h", key).limit(s.per_class) for y in (0, 1)]
     # At most 2 x per_class rows of three numbers: small enough to send to every executor.
-    chosen = F.broadcast(ranked[0].unionByName(ranked[1]).select(F.col(key).alias("k"), "y", (F.pmod("h", F.lit(3)) == 0).alias("held")))
-    sample = docs.select(F.col(key).alias("k"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).join(chosen, "k")
-    fit = sample.where(~F.col("held"))
-    words = F.filter(F.split(F.col("t"), WORD_BREAK), lambda w: w != "")
-    pairs = fit.select("y", words.alias("w")).select("y", F.explode(F.arrays_zip(F.col("w").alias("w"), F.concat(F.array(F.lit("")), F.col("w")).alias("p"))).alias("x"))
-    once = pairs.where(F.col("x.w").isNotNull()).groupBy(F.col("x.w").alias("w"), F.col("x.p").alias("p")).agg(F.max("y").alias("in1"), F.max(1 - F.col("y")).alias("in0"))
-    uses = once.groupBy("w").agg(F.sum("in1").alias("n1"), F.sum("in0").alias("n0")).persist()
-    sums = uses.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
-    both = bool(totals.get(0)) and bool(totals.get(1)) and bool(sums["n1"]) and bool(sums["n0"])
-    if not both:
-        uses.unpersist()
-        edge = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-        return Toxicity(b" ", b" ", np.array([edge] + [0.0] * (len(s.thresholds) + 1)), s)
-    ratio = (F.col("n1") / sums["n1"]) / ((F.col("n0") + 1) / sums["n0"])
-    told = uses.where((F.col("n1") >= s.least_contexts) & (ratio >= s.least_ratio)).orderBy(F.desc(F.col("n1") * F.log(ratio)), "w").limit(s.toxic_words).collect()
-    uses.unpersist()
-    n = F.greatest(F.lit(1), F.ceil(F.size("w") / 40))
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("w", (i * 40 + 1).cast("int"), 10), " "))
-    plain = fit.where("y = 0").select(words.alias("w")).select(F.explode(cut).alias("t")).where("t <> ''").orderBy(F.xxhash64("t"), "t").limit(s.ordinary_windows).collect()
-    ordinary = _dictionary([f" {r['t']} ".encode() for r in plain], s.ordinary_bytes, 32)
-    toxic_text = _vocabulary({r["w"]: int(r["n1"]) for r in told}, s.toxic_bytes)
-    model = Toxicity(ordinary, toxic_text, np.zeros(len(s.thresholds) + 2), s)
+    chosen = F.broadcast(ranked[0].unionByName(ranked[1]).select(F.col(key).alias("k"), "y", (F.pmod("h", F.lit(4)) == 0).alias("held")))
+    sample = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "k")
+    cut = sample.where(~F.col("held")).select("y", F.explode(passage_udf(s)("t")).alias("p")).where(F.length("p") <= s.passage_bytes)
+    # Passages that stand on both sides count as ordinary; copies count once.
+    once = durable(cut.groupBy("p").agg(F.min("y").alias("y")))
+    own = {y: [r["p"] for r in once.where(F.col("y") == y).orderBy(F.xxhash64("p"), "p").limit(s.passages).select("p").collect()] for y in (0, 1)}
+    if not own[0] or not own[1]:
+        return Toxicity(b" ", b" ", np.array([_odds(prior)] + [0.0] * s.width), s)
+    telling = tell(own[1], own[0], s)
+    model = Toxicity(_dictionary(own[0], s.ordinary_bytes, 32, 6), _dictionary(telling or own[1], s.toxic_bytes, 16, 8), np.zeros(s.width + 1), s)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = sample.where("held").select("y", feature_udf(shared, s, False)("t").alias("x")).collect()
+    held = sample.where("held").select("k", "y", F.xxhash64("t").alias("h"), feature_udf(shared, s, False)("t").alias("x"))
+    held = held.groupBy("k").agg(F.min("y").alias("y"), F.min_by("x", "h").alias("x")).collect()
     x, y = np.array([r["x"] for r in held]).reshape(len(held), -1), np.array([r["y"] for r in held], float)
     if len(set(y)) < 2:
-        model.curve[0] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+        model.curve[0] = _odds(prior)
         return model
     model.curve = logistic(x, y)
     # The sample holds the labels in other shares than the table does.
-    model.curve[0] += np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
+    model.curve[0] += _odds(prior) - _odds(y.mean())
     return model
 
 
-def _vocabulary(uses: dict[str, int], size: int) -> bytes:
-    """A dictionary trained on lines of these words, each as often as it has contexts (up to 30), in shuffled order; after it each word once.
+def _odds(share: float) -> float:
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return float(np.log(share / (1 - share)))
 
-    The trainer cuts segments without regard to words. The words that follow are whole, the most used last, where referring is cheapest.
-    """
-    bag = [w for w, n in uses.items() for _ in range(min(n, 30))]
-    np.random.default_rng(5).shuffle(bag)
-    lines = [f" {' '.join(bag[i : i + 6])} ".encode() for i in range(0, len(bag), 6)]
-    return _dictionary(lines, size, 16) + f" {' '.join(sorted(uses, key=lambda w: (uses[w], w)))} ".encode() if bag else b" "
+
+def runs(passages: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `size` bytes (8 at most) of each passage, as numbers, and which passage they are of."""
+    raw, ends = np.frombuffer(b"".join(passages), np.uint8), np.cumsum([0] + [len(p) for p in passages])
+    key = np.zeros(max(len(raw) - size + 1, 0), np.uint64)
+    for i in range(size):
+        key = key * np.uint64(256) + raw[i : i + len(key)]
+    of = np.repeat(np.arange(len(passages)), np.diff(ends))[: len(key)]
+    inside = np.arange(len(key)) + size <= ends[of + 1]
+    key, of = key[inside], of[inside]
+    order = np.lexsort((key, of))
+    key, of = key[order], of[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])[: len(key)]
+    return key[new], of[new]
+
+
+def tell(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[bytes]:
+    """The toxic passages with a run of bytes that stands in several of them and, by share, much more rarely in ordinary ones."""
+    (key, of), (plain, _) = runs(toxic, s.run), runs(ordinary, s.run)
+    mine, n = np.unique(key, return_counts=True)
+    other, m = np.unique(plain, return_counts=True)
+    at = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
+    also = np.where(other[at] == mine, m[at], 0) if len(other) else np.zeros(len(mine))
+    good = mine[(n >= s.least_passages) & (n / len(toxic) >= s.least_ratio * (also + 1) / len(ordinary))]
+    return [toxic[i] for i in np.unique(of[np.isin(key, good)])]
 
 
-def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int, segment: int, run: int) -> bytes:
     """A trained dictionary; of few samples, which the trainer refuses, their own text."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=run).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 

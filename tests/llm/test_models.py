@@ -209,3 +209,36 @@ def test_pipeline_on_an_empty_table(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, tables)
     assert docs.count() == 0
+
+
+def test_toxic_passages_are_told_by_their_runs():
+    s = toxicity.Settings(least_passages=3, least_ratio=2.0)
+    toxic = [b" the idiot said ", b" an idiot came ", b" idiot and more ", b" the plain sea "]
+    ordinary = [b" the plain sea ", b" the plain road ", b" the plain house "]
+    assert toxicity.tell(toxic, ordinary, s) == toxic[:3]
+    key, of = toxicity.runs([b"aaaaaaa", b"abc", b"abcdef"], 6)
+    assert of.tolist() == [0, 2] and len(set(key.tolist())) == 2
+
+
+def test_toxicity_by_a_slow_version(spark, tables):
+    """Scores equal those of windows cut by splitting and compressed one at a time."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    s, tools = model.settings, model.compressors()
+    assert model.ordinary != model.toxic and zstandard.ZstdCompressionDict(model.toxic).dict_id()
+    breaks = str.maketrans({chr(b): " " for b in toxicity.PARTS})
+    for r in toxicity.with_toxicity(docs.limit(40), model).collect():
+        words = r["text"].lower().translate(breaks)
+        cut, at = [], [i for i in range(len(words)) if words[i] != " " and (i == 0 or words[i - 1] == " ")]
+        ends = [next((j for j in range(i, len(words)) if words[j] == " "), len(words)) for i in at]
+        for i in range(0, max(1, -(-(len(at) - s.window) // s.step) + 1) if at else 0):
+            group = range(i * s.step, min(i * s.step + s.window, len(at)))
+            cut.append((" " + words[at[group[0]] : ends[group[-1]]] + " ").encode())
+        ordinary, toxic = ([len(t.compress(w)) for w in cut] for t in tools)
+        shorter, closer = [len(w) - x for w, x in zip(cut, toxic, strict=True)], [a - b for a, b in zip(ordinary, toxic, strict=True)]
+        counts = [sum(x >= t for x in shorter) for t in s.shorter] + [sum(x >= t for x in closer) for t in s.closer]
+        counts += [sum(x >= a and y >= b for x, y in zip(shorter, closer, strict=True)) for a, b in s.both] + [len(cut)]
+        z = model.curve[0] + sum(w * math.log1p(c) for w, c in zip(model.curve[1:], counts, strict=True))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-6, abs_tol=1e-9)
