@@ -40,7 +40,6 @@ ROWS = (0, BUCKETS, 2 * BUCKETS, 3 * BUCKETS, 3 * BUCKETS + (CLASSES + 1) ** 2)
 FINE_BITS = 16  # of the rows of the parts' feature
 PARTS = 64  # the weights travel in so many pieces
 BATCH = 8192
-ADDERS = 32
 #: Tokens that a task of a gradient round has at least: what it sends back is as long as the weights.
 LEAST_TOKENS = 1_000_000
 #: So many zeros count in with the changes of each weight row, which holds back those of rare features.
@@ -195,8 +194,12 @@ def _pieces(tables: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     return [(i, rows) for i, w in enumerate(tables) for rows in np.array_split(np.arange(len(w)), PARTS)]
 
 
-def _gradient_round(model: Model, texts: DataFrame) -> list[np.ndarray]:
-    """The shared weights after a round over a fold's texts (the only column)."""
+def _gradient_round(model: Model, texts: DataFrame, adders: int) -> list[np.ndarray]:
+    """The shared weights after a round over a fold's texts (the only column).
+
+    Changes travel in half precision and are weighed by how often a task met their row where they are added up. They are added in two
+    rounds, by `adders` tasks a piece first, so that none adds the pieces of all others.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,17 +213,21 @@ def _gradient_round(model: Model, texts: DataFrame) -> list[np.ndarray]:
         if seen[0].any():
             for k, (i, rows) in enumerate(_pieces(base.tables())):
                 n = seen[i][rows]
-                change = (mine.tables()[i][rows] - base.tables()[i][rows]) * n[:, None]
+                change = (mine.tables()[i][rows] - base.tables()[i][rows]).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "d": pa.array([change.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
+    def weigh(of: pd.DataFrame) -> pd.DataFrame:
+        n = [np.frombuffer(x, np.float32) for x in of["n"]]
+        d = sum(np.frombuffer(x, np.float16).reshape(len(m), -1).astype(np.float32) * m[:, None] for x, m in zip(of["d"], n, strict=True))
+        return pd.DataFrame({"part": of["part"][:1], "d": [d.tobytes()], "n": [np.sum(n, axis=0, dtype=np.float32).tobytes()]})
+
     def add(of: pd.DataFrame) -> pd.DataFrame:
         total = lambda col: np.sum([np.frombuffer(x, np.float32) for x in of[col]], axis=0, dtype=np.float32).tobytes()
         return pd.DataFrame({"part": of["part"][:1], "d": [total("d")], "n": [total("n")]})
 
     kind = "part int, d binary, n binary"
     changes = texts.mapInArrow(work, kind)
-    # Two rounds of adding, so that no task adds the pieces of all others.
-    some = changes.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(ADDERS))).groupBy("part", "g").applyInPandas(lambda of: add(of), kind)
+    some = changes.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(adders))).groupBy("part", "g").applyInPandas(lambda of: weigh(of), kind)
     found = {r["part"]: r for r in some.groupBy("part").applyInPandas(add, kind).collect()}
     out = [w.copy() for w in model.tables()]
     for k, (i, rows) in enumerate(_pieces(out)):
@@ -282,8 +289,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 2) -> Model:
     model = Model(n, types, ends, h, c, bias, fine_bias, np.log10(cell + kinds + 1), counts=counts)
     fold = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(17)), F.lit(rounds))
     for k in range(rounds):
-        some = docs.where(fold == k).select(text).coalesce(max(1, int(n // (rounds * LEAST_TOKENS))))
-        model.weights, model.fine = _gradient_round(model, some)
+        tasks = max(1, int(n // (rounds * LEAST_TOKENS)))
+        model.weights, model.fine = _gradient_round(model, docs.where(fold == k).select(text).coalesce(tasks), max(1, int(tasks**0.5)))
     return model
 
 
