@@ -144,8 +144,12 @@ def points(vectors: DataFrame, key: str, vector: str, most: int) -> DataFrame:
     return first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ids: int = 11, shard_rows: int = 4096) -> DataFrame:
-    """One row per shard: shard, dim, points, graph (the flat arrays). Vectors of different lengths are in different shards."""
+def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, shard_rows: int = 16_384) -> DataFrame:
+    """One row per shard: part, dim, points, k, graph (the flat arrays). Vectors of different lengths are in different shards.
+
+    `k` is the most neighbours that will be asked for: of equal vectors, k + 1 ids are kept, as many as a result can show.
+    """
+    ids = k + 1
     pts = durable(points(vectors, key, vector, ids))
     shards = max(1, -(-pts.count() // shard_rows))
     dealt = pts.withColumns({"dim": F.size("v"), "part": F.pmod(F.xxhash64("v"), F.lit(shards))})
@@ -162,15 +166,18 @@ def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", id
         return pd.DataFrame({"part": of["part"][:1], "dim": of["dim"][:1], "points": [len(x)], "graph": [out.getvalue()]})
 
     graphs = dealt.groupBy("dim", "part").applyInPandas(make, "part long, dim int, points long, graph binary")
-    return durable(graphs.select(F.hash("dim", "part").alias("shard"), "part", "dim", "points", "graph"))
+    return durable(graphs.select("part", "dim", "points", F.lit(k).alias("k"), "graph"))
 
 
-def nearest(queries: DataFrame, graphs: DataFrame, k: int = 10, beam: int = 96, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, graphs: DataFrame, k: int = 10, beam: int = 96, key: str = "vec_id", vector: str = "embedding", block: int = 16_384, step: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query but itself, by Euclidean distance; ties to smaller ids.
 
     A query that is not usable (see `points`) has no rows; one with fewer candidates has as many rows. Equal queries are searched once.
-    An empty index or query table gives an empty result. Each (shard, block of queries) is one task's work.
+    An empty index or query table gives an empty result; asking for more neighbours than the index was made for is an error. Each
+    (shard, block of queries) is one task's work, `step` queries at a time, so a shard's graph travels once for `block` queries.
     """
+    if (made := graphs.agg(F.min("k")).first()[0]) is not None and made < k:
+        raise ValueError(f"the index holds ids for {made} neighbours, not {k}")
     v = F.transform(F.col(vector), lambda c: c.cast("double") + F.lit(0.0))
     asked = durable(queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query_id"), v.alias("v")))
     wanted = points(asked, "query_id", "v", 1).select("v", F.col("ids")[0].alias("q"))
@@ -190,7 +197,7 @@ def nearest(queries: DataFrame, graphs: DataFrame, k: int = 10, beam: int = 96,
         x, ids, at = a["x"], a["ids"], a["at"]
         layers = [(a[f"p{i}"].astype(np.int64), a[f"n{i}"].astype(np.int64)) for i in range(sum(name.startswith("p") for name in a.files))]
         q = np.array(query_rows["v"].tolist(), np.float64)
-        hits = search(x, layers, q, max(beam, k + 1))
+        hits = np.concatenate([search(x, layers, q[i : i + step], max(beam, k + 1)) for i in range(0, len(q), step)])
         who, slot = np.nonzero(hits >= 0)
         point = hits[who, slot]
         score = np.sqrt(((x[point] - q[who]) ** 2).sum(axis=1))

@@ -3,11 +3,13 @@
 The merges are compiled, one after another, into a deterministic automaton whose arcs are tokens and whose language is the
 set of correct tokenizations. At first there is one state with an arc for every byte. The gadget for the merge (a, b) takes
 the state q that all a-arcs lead to, makes a copy of it without the b-arc, turns the a-arcs to the copy, and gives an ab-arc
-to every state that has an a-arc. All arcs with one label lead to one state throughout, so a state is held as (the state it
-copies, the arc it lacks, the merge that made it), which keeps 50,000 gadgets in a few MB. A text has exactly one path.
+to every state that has an a-arc. All arcs with one label lead to one state throughout, so states are held as the chains of
+copies that they are: a state knows the label whose merges made its latest copies, the last of those merges, and where the label's
+arcs led before; the arcs that copies lack are one table of (label, lacking arc). That keeps 50,000 gadgets in a few MB. Arcs that
+a task has asked for are kept in a transition table from (state, label) to the next state. A text has exactly one path.
 
 Words are encoded together: at each byte offset, a trie of the arc labels is walked by table for all words at once, and an
-arc is taken where the automaton has it. Each offset is reached by one arc at most, so the path is read back from the end.
+arc is taken where the transition table leads on. Each offset is reached by one arc at most, so the path is read back from the end.
 Decoding emits the labels of the arcs.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.common import HashTable, fresh, list_chunks
 
-#: Words longer than this are walked one by one instead of in step with others.
+#: Words of more bytes than this are walked one by one instead of in step with others.
 LONG_WORD = 48
 #: Fixed value: how the byte-level scheme splits a text before merging, with white space as Unicode defines it.
 BLANK = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -47,27 +49,30 @@ class Automaton:
         self.n = n = 256 + len(merges)
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         self.text: list[bytes] = [bytes([b]) for b in range(256)]
-        #: For each state, the one it copies, the label of the arc it lacks, and the merge that made it.
-        copies, lacks = [-1], [-1]
-        goal = [0] * 256
+        #: Of each state but the first: the label whose merges made its latest copies, and the last of these merges.
+        owner, made = [-1], [-1]
+        #: Of each label: the state that its arcs lead to, and the one that they led to when it was made.
+        goal, base = [0] * 256, [0] * 256
         for a, b in merges:
-            x, y = label[a], label[b]
-            copies.append(goal[x])
-            lacks.append(y)
+            x, y, k = label[a], label[b], len(self.text)
             goal.append(goal[y])  # the ab-arcs lead where b-arcs led
-            goal[x] = len(copies) - 1  # and the a-arcs to the copy, whatever their start; with a = b the ab-arcs keep the old state
-            k = len(self.text)
+            base.append(goal[y])
+            owner.append(x)
+            made.append(k)
+            goal[x] = len(owner) - 1  # and the a-arcs to the copy, whatever their start; with a = b the ab-arcs keep the old state
             label[a + b] = k
             self.left[k], self.right[k] = x, y
             self.text.append(a + b)
-        self.copies, self.lacks, self.goal = np.array(copies), np.array(lacks), np.array(goal)
+        self.owner, self.made, self.goal, self.base = (np.array(x, np.int64) for x in (owner, made, goal, base))
         self.ids = np.array([vocabulary[t] for t in self.text], np.int64)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.special = special
-        self.missing = HashTable(np.array([label[a] * n + label[b] for a, b in merges], np.int64), np.arange(256, n, dtype=np.int64))
+        #: Which merge made the copy of the label's state that lacks the arc.
+        self.lacks = HashTable(np.array([label[a] * n + label[b] for a, b in merges], np.int64), np.arange(256, n, dtype=np.int64))
         self._trie(label)
         self._emit()
-        self.cache_keys, self.cache_has = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        #: The transition table: keys (state, label) and next states, -1 for no arc; filled as arcs are asked for.
+        self.table_keys, self.table_goals = np.full(1 << 20, -1, np.int64), np.full(1 << 20, -1, np.int32)
 
     def _trie(self, label: dict[bytes, int]) -> None:
         nodes: dict[bytes, int] = {b"": 0}
@@ -98,64 +103,68 @@ class Automaton:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         return cls([(spell(a), spell(b)) for a, b in pairs], {spell(t): i for t, i in model["vocab"].items() if t not in special}, special)
 
-    def _walk_states(self, t: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Whether the state after a t-arc has a u-arc.
+    def _arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Whether the state has an arc with the label, by going down the copies that it was made by.
 
-        The u-arc is absent if a state that the t-state stems from lost it. The states it stems from were made by merges of t,
-        of t's right part before t was made, and so on; the u-arc came with the arc of u's left part when u was made, and so on. (The
-        copy that the merge of a with a makes lacks the a-arc already when aa-arcs are given, hence <=.)
+        A copy that lacks the arc ends the search. A label that is younger than a copy came to it with the arc of its left part, so
+        the left part is looked for among the copies older than the label. (The copy that the merge of a with a makes lacks the a-arc
+        already when aa-arcs are given, hence <=.)
         """
-        out = np.ones(len(t), bool)
-        x, x_before = t.copy(), np.full(len(t), NEVER)
-        rows = np.arange(len(t))
+        out, s = np.ones(len(state), bool), state.copy()
+        rows = np.flatnonzero(s > 0)
         while len(rows):
-            y, y_before, at = u[rows].copy(), np.full(len(rows), NEVER), np.arange(len(rows))
+            x, upto = self.owner[s[rows]], self.made[s[rows]]
+            y, before, at = label[rows].copy(), np.full(len(rows), NEVER), np.arange(len(rows))
             while len(at):
-                made = self.missing.get(x[rows[at]] * self.n + y[at])
-                lost = (made >= 0) & (made < x_before[rows[at]]) & (made <= y_before[at])
+                made = self.lacks.get(x[at] * self.n + y[at])
+                lost = (made >= 0) & (made <= upto[at]) & (made <= before[at])
                 out[rows[at[lost]]] = False
                 at = at[~lost & (self.left[y[at]] >= 0)]
-                y_before[at] = y[at]
+                before[at] = y[at]
                 y[at] = self.left[y[at]]
-            rows = rows[out[rows] & (self.right[x[rows]] >= 0)]
-            x_before[rows] = x[rows]
-            x[rows] = self.right[x[rows]]
+            s[rows] = self.base[x]
+            rows = rows[out[rows] & (s[rows] > 0)]
         return out
 
-    def has_arc(self, t: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """`_walk_states` behind a table of fixed size; t is -1 in the start state, which has every arc."""
-        keys = (t + 1) * self.n + u
+    def step(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The next states, or -1; a table of fixed size answers what it has met."""
+        keys = state * self.n + label
         at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        out = self.cache_has[at]
-        new = np.flatnonzero(self.cache_keys[at] != keys)
+        out = self.table_goals[at].astype(np.int64)
+        new = np.flatnonzero(self.table_keys[at] != keys)
         if len(new):
-            out[new] = True
-            deep = new[t[new] >= 0]
-            out[deep] = self._walk_states(t[deep], u[deep])
-            self.cache_keys[at[new]], self.cache_has[at[new]] = keys[new], out[new]
-            clash = new[self.cache_keys[at[new]] != keys[new]]  # two keys of one slot: the slot keeps the last key, so its value must be that key's
-            if len(clash):
-                self.cache_keys[at[clash]] = -1
+            out[new] = np.where(self._arcs(state[new], label[new]), self.goal[label[new]], -1)
+            self.table_keys[at[new]], self.table_goals[at[new]] = keys[new], out[new]
+            clash = new[self.table_keys[at[new]] != keys[new]]  # two keys of one slot: the slot keeps neither
+            self.table_keys[at[clash]] = -1
         return out
 
-    def encode_long(self, word: bytes) -> list[int]:
-        """The same walk for one word of any length."""
-        last = [-1] * (len(word) + 1)
-        for i in range(len(word)):
-            node, found = 0, []
-            for j in range(i, len(word)):
-                key = np.array([node * 256 + word[j]])
-                node = int(self.trie.get(key)[0])
-                if node < 0:
-                    break
-                if self.ends[node] >= 0:
-                    found.append(int(self.ends[node]))
-            if i and last[i] < 0:
-                continue
-            u = np.array(found)
-            for k in u[self.has_arc(np.full(len(u), last[i]), u)]:
-                last[i + int(self.size[k])] = int(k)
-        out, at = [], len(word)
+    def encode_long(self, word: bytes, tile: int = 1 << 14) -> list[int]:
+        """The same path for one word of any length: the labels at all offsets of a tile are looked up at once, then walked in order."""
+        raw, n = np.frombuffer(word, np.uint8).astype(np.int64), len(word)
+        last, state, known = [-1] * (n + 1), [-1] * (n + 1), {}
+        state[0] = 0
+        for first in range(0, n, tile):
+            at = np.arange(first, min(first + tile, n))
+            node, depth, found = np.zeros(len(at), np.int64), 0, [[] for _ in at]
+            while len(at):
+                node = self.trie.get(node * 256 + raw[at + depth])
+                for i in np.flatnonzero((node >= 0) & (self.ends[node] >= 0)).tolist():
+                    found[int(at[i]) - first].append(int(self.ends[node[i]]))
+                depth += 1
+                live = (node >= 0) & (at + depth < n)
+                at, node = at[live], node[live]
+            for i, labels in enumerate(found, first):
+                if state[i] < 0:
+                    continue
+                for u in labels:
+                    key = (state[i], u)
+                    if key not in known:
+                        known[key] = int(self.step(np.array([state[i]]), np.array([u]))[0])
+                    if known[key] >= 0:
+                        to = i + int(self.size[u])
+                        last[to], state[to] = u, known[key]
+        out, at = [], n
         while at:
             out.append(last[at])
             at -= int(self.size[last[at]])
@@ -180,7 +189,7 @@ class Automaton:
             for i in range(wide):
                 live = int(np.searchsorted(-n, -i))  # those longer than i come first
                 here = np.arange(live) if i == 0 else np.flatnonzero(last[i, :live] >= 0)
-                node, state = np.zeros(len(here), np.int64), last[i, here]
+                node, state = np.zeros(len(here), np.int64), np.where(last[i, here] >= 0, self.goal[last[i, here]], 0)
                 for j in range(i, wide):
                     keep = n[here] > j
                     if not keep.all():
@@ -192,7 +201,7 @@ class Automaton:
                         break
                     u = self.ends[node]
                     arcs = np.flatnonzero(u >= 0)
-                    taken = arcs[self.has_arc(state[arcs], u[arcs])]
+                    taken = arcs[self.step(state[arcs], u[arcs]) >= 0]
                     last[j + 1, here[taken]] = u[taken]
             back, pos, who = [], n.copy(), np.arange(len(rows))
             while len(who):
