@@ -9,6 +9,7 @@ logistic curve that is calibrated on documents kept from training.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ PLAIN = bytes.maketrans(PARTS, b" " * len(PARTS))
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 9000  # documents of each label that training may take, by hash order: a documented bound
-    passages: int = 300_000  # distinct passages of each label that the dictionaries may be trained on, by hash order: a documented bound
+    passages: int = 200_000  # distinct passages of each label, about, that the dictionaries may be trained on, by hash: a documented bound
     passage_bytes: int = 200  # longer passages, of words beyond any dictionary's use, train nothing; they are scored like all
     ordinary_bytes: int = 8192
     toxic_bytes: int = 6144
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learns from documents that `labels` marks 0 or 1; other labels and nulls are left out, and a document marked both ways counts as toxic.
 
     At most `per_class` documents a label are taken, those with the smallest hash of their id; a quarter of them calibrates, the others
-    train the dictionaries with at most `passages` of their whole texts' distinct passages a label, by hash. Of rows with one id, one
+    train the dictionaries with about `passages` of their whole texts' distinct passages a label, or all if they are fewer. Of rows with one id, one
     calibrates. Without documents of both labels, the score is the share of toxic ones (0 if none at all).
     """
     s = settings or Settings()
@@ -164,7 +165,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     cut = sample.where(~F.col("held")).select("y", F.explode(passage_udf(s)("t")).alias("p")).where(F.length("p") <= s.passage_bytes)
     # Passages that stand on both sides count as ordinary; copies count once.
     once = durable(cut.groupBy("p").agg(F.min("y").alias("y")))
-    own = {y: [r["p"] for r in once.where(F.col("y") == y).orderBy(F.xxhash64("p"), "p").limit(s.passages).select("p").collect()] for y in (0, 1)}
+    found = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
+    # So many in 2 ** 20 hashes as leave about `passages`: no task sorts them.
+    share = {y: min(1 << 20, (s.passages << 20) // max(found.get(y, 0), 1)) for y in (0, 1)}
+    few = once.where(F.pmod(F.xxhash64("p"), F.lit(1 << 20)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).toArrow()
+    own = {y: sorted(few.filter(pc.equal(few.column("y"), y)).column("p").to_pylist()) for y in (0, 1)}
+    for rows in own.values():
+        random.Random(5).shuffle(rows)
     if not own[0] or not own[1]:
         return Toxicity(b" ", b" ", np.array([_odds(prior)] + [0.0] * s.width), s)
     telling = tell(own[1], own[0], s)
@@ -202,15 +209,27 @@ def runs(passages: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return key[new], of[new]
 
 
-def tell(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[bytes]:
+def run_counts(passages: list[bytes], size: int, slice_: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs and how many passages have each, some passages at a time."""
+    key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(passages), slice_):
+        more, m = np.unique(runs(passages[i : i + slice_], size)[0], return_counts=True)
+        key, inverse = np.unique(np.concatenate([key, more]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([n, m]), len(key)).astype(np.int64)
+    return key, n
+
+
+def tell(toxic: list[bytes], ordinary: list[bytes], s: Settings, slice_: int = 20_000) -> list[bytes]:
     """The toxic passages with a run of bytes that stands in several of them and, by share, much more rarely in ordinary ones."""
-    (key, of), (plain, _) = runs(toxic, s.run), runs(ordinary, s.run)
-    mine, n = np.unique(key, return_counts=True)
-    other, m = np.unique(plain, return_counts=True)
+    (mine, n), (other, m) = run_counts(toxic, s.run), run_counts(ordinary, s.run)
     at = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
     also = np.where(other[at] == mine, m[at], 0) if len(other) else np.zeros(len(mine))
     good = mine[(n >= s.least_passages) & (n / len(toxic) >= s.least_ratio * (also + 1) / len(ordinary))]
-    return [toxic[i] for i in np.unique(of[np.isin(key, good)])]
+    out = []
+    for i in range(0, len(toxic), slice_):
+        key, of = runs(toxic[i : i + slice_], s.run)
+        out += [toxic[i + k] for k in np.unique(of[np.isin(key, good)])]
+    return out
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int, run: int) -> bytes:
