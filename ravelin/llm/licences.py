@@ -1,14 +1,14 @@
 """Scans of whole texts for licence notices, with DataFrame operations only.
 
 Texts and templates are read as lower-case runs of letters and digits, in shingles of five words; a template with fewer words is one
-shingle of its own length. Positions whose shingle is in no template can add nothing to any containment, so they are dropped by a
-join with the templates' shingles, whose number the template list bounds, before anything is shuffled. What is left is cut into
-overlapping windows; MinHash bands of a window's shingles retrieve templates longer than a window; then the exact share of a
-template's shingles that stands in one stretch of the text decides.
-
-Bands of one row make retrieval near certain: with 24 of them, a window and a template piece with a Jaccard similarity of 0.3 meet
-with probability 1 - 0.7 ** 24 > 0.9998. A template of WINDOW shingles or fewer could drown in a window that it shares with a longer
-notice, so each of its shingles retrieves it: none of them is missed.
+shingle of its own length. Texts are cut into overlapping windows of shingles, and the BANDS least hashes of a window, a bottom-k
+MinHash sketch, are its bands of one row each; those of every piece of a template are its bands. A text and a template that share a
+band are a candidate, and the exact share of the template's shingles that stands in one stretch of the text decides.
+
+Wherever a notice of more than WINDOW shingles stands, some window shares WINDOW - STEP / 2 shingles with a piece of its template: a
+Jaccard similarity of 0.6, and of 0.42 where a fifth of the words differ. Of the BANDS least hashes of both together, none is common
+with probability below (1 - 0.42) ** 24 < 3e-6. A template of WINDOW shingles or fewer could drown in a window that it shares with a
+longer notice, so it has windows of a single shingle, whose one band is that shingle: none of them is missed.
 """
 
 from __future__ import annotations
@@ -67,48 +67,54 @@ def library(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame,
     return durable(out), sizes
 
 
-def bands(hashes: Column) -> Column:
-    """BANDS minima of the hashes, each under a hash function of its own."""
+def sketches(h: Column, step: int) -> Column:
+    """(start, key) of the BANDS least distinct hashes of the windows of WINDOW hashes that begin at every `step`-th."""
+    starts = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-    def least(b: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(b))))
+    def least(at: Column) -> Column:
+        keys = F.slice(F.sort_array(F.array_distinct(F.slice(h, at + 1, WINDOW))), 1, BANDS)
+        return F.transform(keys, lambda key: F.struct(at.alias("start"), key.alias("key")))
 
-    return F.array(*[least(b) for b in range(BANDS)])
+    return F.flatten(F.transform(starts, least))
 
 
-def windowed(rows: DataFrame, keys: list[str], step: int) -> DataFrame:
-    """The band keys of the overlapping windows: keys, start, band, key. Each place is in WINDOW / step windows."""
-    starts = F.transform(F.sequence(F.lit(0), F.lit(WINDOW // step - 1)), lambda i: (F.floor(F.col("place") / step) - i) * step)
-    groups = rows.withColumn("start", F.explode(starts)).groupBy(*keys, "start").agg(F.collect_set("h").alias("hs"))
-    return groups.select(*keys, "start", F.posexplode(bands(F.col("hs"))).alias("band", "key"))
+def apart(places: Column, length: int | Column) -> Column:
+    """How many of the ascending places can be taken, each at least `length` after the one before: the first, then the next that fits."""
+    start = F.struct(F.lit(-(1 << 40)).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    taken = F.aggregate(places, start, lambda a, p: F.when(p >= a["end"], F.struct((p + length).cast("long").alias("end"), (a["n"] + 1).alias("n"))).otherwise(a))
+    return taken["n"]
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """One row per document row and template found in it: the kept columns, _row, template, containment, first_word, matches.
 
     A template is found where at least `least` of its different shingles stand within a stretch one and a quarter times as long;
-    containment is the largest such share, first_word the word at which the first such stretch begins (from 0), matches their number
-    without overlap. Whole texts are read. Null and empty texts, and an empty list of templates, give no rows; repeated rows are rows
-    of their own; columns of `docs` named like the new ones are replaced.
+    containment is the largest such share, first_word the word at which the first such stretch begins (from 0), matches the number of
+    such stretches taken from the left, each a template's length after the one before. Whole texts are read. Null and empty texts, and
+    an empty list of templates, give no rows; repeated rows are rows of their own; columns of `docs` named like the new ones are replaced.
     """
     spark, made = docs.sparkSession, ["_row", "template", "containment", "first_word", "matches"]
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in made]
     known, sizes = library(spark, TEMPLATES if templates is None else templates)
-    vocabulary = known.select("h").distinct()
-    if known.count() <= BROADCAST_SHINGLES:
-        vocabulary = F.broadcast(vocabulary)
-    w = fresh("words")
-    split = docs.select(*kept, F.monotonically_increasing_id().alias("_row"), licence_words(F.col(text)).alias(w))
-    runs = F.flatten(F.array(*[F.transform(shingles(F.col(w), k), lambda h, i: F.struct(i.alias("place"), h.alias("h"))) for k in sizes or [SHINGLE]]))
-    places = split.select(*kept, "_row", F.explode(runs).alias("r")).select(*kept, "_row", F.col("r.place").alias("place"), F.col("r.h").alias("h"))
-    hits = durable(places.join(vocabulary, "h"))
-    owners = known.select("template", "h", "n").distinct()
-    # A template no longer than a window may share it with a longer notice: any one shingle retrieves it.
+    pieces = known.where(F.col("n") > WINDOW).groupBy("template").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]).alias("hs"))
+    pieces = durable(pieces.select("template", F.explode(sketches(F.col("hs"), 4)).alias("b")).select("template", F.col("b.key").alias("h")).distinct())
+    # What a text's shingles (kind 0) and bands (kind 1) are looked up in.
+    wanted = known.select(F.lit(0).alias("kind"), "h").distinct().unionByName(pieces.select(F.lit(1).alias("kind"), "h").distinct())
+    if known.count() + pieces.count() <= BROADCAST_SHINGLES:
+        wanted = F.broadcast(wanted)
+    own, w, hs = fresh("own"), fresh("words"), fresh("shingles")
+    # The columns of the documents travel as one, so none of them can clash with those here.
+    packed = F.struct(*[F.col(c) for c in kept]) if kept else F.lit(None)
+    split = docs.select(packed.alias(own), F.monotonically_increasing_id().alias("_row"), licence_words(F.col(text)).alias(w)).withColumn(hs, shingles(F.col(w), SHINGLE))
+    of = lambda k: F.col(hs) if k == SHINGLE else shingles(F.col(w), k)
+    runs = [F.transform(of(k), lambda h, i: F.struct(F.lit(0).alias("kind"), i.alias("place"), h.alias("h"))) for k in sizes or [SHINGLE]]
+    runs.append(F.transform(sketches(F.col(hs), STEP), lambda b: F.struct(F.lit(1).alias("kind"), b["start"].alias("place"), b["key"].alias("h"))))
+    places = split.select(own, "_row", F.explode(F.flatten(F.array(*runs))).alias("r")).select(own, "_row", F.col("r.kind").alias("kind"), F.col("r.place").alias("place"), F.col("r.h").alias("h"))
+    found = durable(places.join(wanted, ["kind", "h"]))
+    hits, owners = found.where("kind = 0").drop("kind"), known.select("template", "h", "n").distinct()
+    candidates = found.where("kind = 1").join(pieces, "h").select("_row", "template").distinct()
     short = hits.join(owners.where(F.col("n") <= WINDOW), "h")
-    # Every start of a longer template's piece, against windows of the text that begin at multiples of STEP.
-    pieces = windowed(known.where(F.col("n") > WINDOW), ["template"], 4).select("template", "band", "key").distinct()
-    found = windowed(hits, ["_row"], STEP).join(pieces, ["band", "key"]).select("_row", "template").distinct()
-    held = short.unionByName(hits.join(owners, "h").join(found, ["_row", "template"]))
+    held = short.unionByName(hits.join(owners.where(F.col("n") > WINDOW), "h").join(candidates, ["_row", "template"]).select(*short.columns))
     # Stretches differ in length by template: one frame per length in use.
     lengths = [r["n"] for r in known.select("n").distinct().collect()]
     per = W.partitionBy("_row", "template").orderBy("place")
@@ -119,6 +125,5 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tem
     if share is None:
         share = F.lit(0.0)
     good = held.withColumn("share", share).where(F.col("share") >= least)
-    apart = F.coalesce(F.col("place") - F.lag("place").over(per) > F.col("n"), F.lit(True))
-    good = good.withColumn("new", apart.cast("long"))
-    return good.groupBy(*kept, "_row", "template").agg(F.max("share").alias("containment"), F.min("place").cast("long").alias("first_word"), F.sum("new").alias("matches"))
+    each = good.groupBy("_row", "template", "n").agg(F.first(own).alias(own), F.max("share").alias("containment"), F.min("place").cast("long").alias("first_word"), F.array_sort(F.collect_set("place")).alias("places"))
+    return each.select(*[F.col(f"{own}.{c}").alias(c) for c in kept], "_row", "template", "containment", "first_word", apart(F.col("places"), F.col("n")).alias("matches"))

@@ -93,33 +93,56 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return docs.withColumn(name, fingerprint(F.col(text), k, take))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], tie: Column, derived: dict[str, Column], per_range: int = 4096) -> DataFrame:
+def _above(bounds: list[int], key: Column) -> Column:
+    """How many of the ascending bounds are above the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*[F.lit(b).cast("long") for b in bounds])
+    jumps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    # The number of bounds that are not above the key, built up from its highest bit.
+    below = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.coalesce(F.get(held, at + jump - 1) <= key, F.lit(False)), at + jump).otherwise(at))
+    return F.lit(len(bounds)) - below
+
+
+def with_next(docs: DataFrame, key: str, columns: list[str], tie: Column, derived: dict[str, Column], per_range: int = 4096, most: int = 1 << 17) -> DataFrame:
     """Adds `derived`, and next_<column> for each of `columns` and `derived`: that of the row that follows in descending order of `key`; after the last, the first.
 
-    Rows are dealt to ranges of the key, whose bounds are quantiles; each range is ordered by itself and closed with a copy of the
-    next range's first row. Ties of the key go by `tie`; null keys come last.
+    Rows are dealt to ranges of the key (a whole number), whose bounds are quantiles, `most` at most; a key, or null, with more rows
+    than a range should have is split by its ties. Each range is ordered by itself and closed with a copy of the next range's first
+    row. Ties of the key go by `tie`, equal ones in any order; null keys come last.
     """
     n = docs.select(key).count()
-    pieces = max(1, n // per_range)
+    size = max(per_range, -(-n // most))
+    pieces = max(1, n // size)
     low, high = -(1 << 62), 1 << 62
     cuts = docs.select(F.percentile_approx(F.col(key), [i / pieces for i in range(1, pieces)], 10 * pieces).alias("q")).first()["q"] if pieces > 1 else []
-    bounds = sorted({int(c) for c in cuts or [] if low < c < high})
-    number = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    # Bounds ascend; the key's range is how many of them are above it. A binary search would be longer to write than to run.
-    side = F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(number, lambda b: b > F.col(key))))
-    ranged = docs.withColumns({"_range": side, "_tie": tie})
-    order = [F.col(key).desc_nulls_last(), F.col("_tie")]
+    crowds = {r["k"]: r["n"] for r in docs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > size).collect()}  # n / size at most
+    bounds = sorted({int(c) for c in cuts or [] if low < c < high} | {b for k in crowds if k is not None for b in (k, k + 1)})
+    side = F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(_above(bounds, F.col(key)))
+    crowded = [(k, -(-c // size)) for k, c in crowds.items()]
+    number, nth, tied, last = fresh("range"), fresh("part"), fresh("tie"), fresh("last")
+    ranged = docs.withColumns({number: side, tied: tie})
+    # The hash's place among all hashes, from 0 to 1, in as many equal parts as the crowd needs.
+    parts = F.lit(1)
+    if crowded:
+        held = F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k, _ in crowded if k is not None]), F.array(*[F.lit(c) for k, c in crowded if k is not None])) if any(k is not None for k, _ in crowded) else None
+        parts = F.when(F.col(key).isNull(), F.lit(dict(crowded).get(None, 1))).otherwise(F.coalesce(F.element_at(held, F.col(key)), F.lit(1)) if held is not None else F.lit(1))
+    ranged = ranged.withColumn(nth, F.least(F.floor((F.col(tied) / F.lit(2.0**64) + 0.5) * parts), parts - 1).cast("int"))
+    order = [F.col(key).desc_nulls_last(), F.col(tied)]
     own = F.struct(*[F.col(c) for c in columns])
-    first = F.struct((-F.col(key)).alias("a"), F.col("_tie").alias("b"), own.alias("c"))
-    heads = durable(ranged.groupBy("_range").agg(F.coalesce(F.min(F.when(F.col(key).isNotNull(), first)), F.min(first)).alias("f")).select("_range", F.col("f.c").alias("c")))
-    every = W.partitionBy().orderBy("_range")
-    ends = heads.select("_range", F.coalesce(F.lead("c").over(every), F.first("c").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("c"))
-    closing = ends.select("_range", *[F.col(f"c.{c}").alias(c) for c in columns], F.lit(1).alias("_last"))
+    first = F.struct((-F.col(key)).alias("a"), F.col(tied).alias("b"), own.alias("c"))
+    heads = durable(ranged.groupBy(number, nth).agg(F.coalesce(F.min(F.when(F.col(key).isNotNull(), first)), F.min(first)).alias("f")).select(F.col(number).alias("r"), F.col(nth).alias("p"), F.col("f.c").alias("c")))
+    # Only the numbers of the ranges are put in order in one place; the rows that close them come by a join.
+    every = W.partitionBy().orderBy("r", "p")
+    spot = F.struct("r", "p")
+    turns = heads.select("r", "p", F.coalesce(F.lead(spot).over(every), F.first(spot).over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("next"))
+    turns = turns.select(F.col("r").alias(number), F.col("p").alias(nth), F.col("next.r").alias("r"), F.col("next.p").alias("p"))
+    closing = turns.join(heads, ["r", "p"]).select(number, nth, *[F.col(f"c.{c}").alias(c) for c in columns], F.lit(1).alias(last))
     # Derived once per row and closing copy, here, and not for all rows that might be a range's first.
-    rows = ranged.withColumn("_last", F.lit(0)).unionByName(closing, allowMissingColumns=True).withColumns(derived)
-    within = W.partitionBy("_range").orderBy("_last", *order)
+    rows = ranged.withColumn(last, F.lit(0)).unionByName(closing, allowMissingColumns=True).withColumns(derived)
+    within = W.partitionBy(number, nth).orderBy(last, *order)
     out = rows.withColumns({f"next_{c}": F.lead(c).over(within) for c in [*columns, *derived]})
-    return out.where("_last = 0").drop("_range", "_tie", "_last")
+    return out.where(F.col(last) == 0).drop(number, nth, tied, last)
 
 
 def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, take: int = 2) -> DataFrame:
@@ -127,16 +150,18 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     document), fingerprint, edited_fingerprint, near_edited and near_next.
 
     The next document is that with the next smaller key, after the last the first; a single one follows itself. Rows with one key
-    follow each other in the order of their texts' hashes. A null text is empty; an empty table stays empty; columns of `docs` named
+    follow each other in the order of hashes of their texts and places in the table. A null text is empty; an empty table stays empty; columns of `docs` named
     like the new ones are replaced.
     """
     made = ["n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    body = fresh("body")
-    rows = docs.drop(*made).withColumn(body, F.coalesce(F.col(text), F.lit("")))
-    rows = with_next(rows, key, [body], F.xxhash64(body), {"fingerprint": fingerprint(F.col(body), k, take)})
+    body, own = fresh("body"), fresh("fingerprint")
+    kept = [c for c in docs.columns if c not in made]
+    rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(body))
+    # The place in the table tells rows with one key and one text apart, so that many of them can be dealt to several ranges.
+    rows = with_next(rows, key, [body], F.xxhash64(body, F.monotonically_increasing_id()), {own: fingerprint(F.col(body), k, take)})
     n, half = F.length(body), F.expr(f"length({body}) div 2").cast("int")
     edited = F.concat(F.substr(F.col(body), F.lit(1), n - half), F.substr(F.col(f"next_{body}"), F.lit(1), half))
-    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": edited})
+    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": edited, "fingerprint": F.col(own)})
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited"), k, take))
-    rows = rows.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_fingerprint"))})
-    return rows.drop(body, f"next_{body}", "next_fingerprint")
+    rows = rows.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col(f"next_{own}"))})
+    return rows.select(*kept, *made)
