@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ravelin.functions.text import tokens
+from ravelin.functions.text import strip, text, tokens
 from ravelin.operators.sparse import minmax, ranked
 
 
@@ -108,6 +108,36 @@ def overlap_scorer(question: Column, body: Column) -> Column:
     return F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)), 6)
 
 
+def logit_scorer(load: Callable[[], Callable[[list[str]], list[float]]], batch: int = 16) -> Callable[[Column, Column], Column]:
+    """A scorer from a model: `load` is called once a worker and gives a function of prompts to yes-minus-no logits, called for `batch` prompts at a time."""
+
+    def scorer(question: Column, body: Column) -> Column:
+        @F.pandas_udf("double")
+        def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for p in parts:
+                prompts = p.tolist()
+                yield pd.Series([x for i in range(0, len(prompts), batch) for x in model(prompts[i : i + batch])], dtype=float)
+
+        return score(rerank_prompt(question, F.lit(""), F.lit(""), body))
+
+    return scorer
+
+
+# What the model is told.
+RERANK_SYSTEM = "You are a passage reranker for retrieval.\nDecide whether the passage is useful to answer the question.\nOutput only one token: yes or no.\n"
+RERANK_ASK = "Is this passage useful for answering the question? Answer:"
+
+
+def rerank_prompt(question: Column, title: Column, heading: Column, body: Column, most: int = 1000) -> Column:
+    """What a reranking model is asked about a passage, cut to `most` characters."""
+    named = lambda label, c: F.when(strip(text(c)) != "", F.concat(F.lit(label), strip(text(c))))
+    about = F.concat_ws(" | ", named("Title: ", title), named("Section: ", heading))
+    cut = F.substring(strip(text(body)), 1, most)
+    passage = F.when(about != "", strip(F.concat(about, F.lit("\n"), cut))).otherwise(cut)
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nPassage:\n"), passage, F.lit("\n\n" + RERANK_ASK))
+
+
 def context(selected: DataFrame, retrieved: DataFrame, doc_of: DataFrame, k: int, dedup: bool = True) -> DataFrame:
     """(query_id, chunk_id, rank): the selected ones, filled up from the retrieved ones, the first of each document, k in all."""
     both = selected.select("query_id", "chunk_id", "rank", F.lit(0).alias("stage")).unionByName(retrieved.select("query_id", "chunk_id", "rank", F.lit(1).alias("stage")))
@@ -121,15 +151,18 @@ def context(selected: DataFrame, retrieved: DataFrame, doc_of: DataFrame, k: int
 
 
 def budget(ranked_texts: DataFrame, most: int, count: Callable[[Column], Column], least_chars: int = 200) -> DataFrame:
-    """The prefix of (query_id, rank, chunk_id, text) that fits `most` tokens; the next one cut to what is left, if over `least_chars` characters of it fit.
+    """The prefix of (query_id, rank, chunk_id, text) that fits `most` tokens; the next one cut to the longest prefix of it, in characters, that still fits, if over `least_chars`.
 
-    Tokens are words here, so the longest prefix with n words ends before word n + 1.
+    The prefix is found by halving, for the one text a question that does not fit. `count` must not fall as a text grows.
     """
     rows = ranked_texts.withColumn("tok", count(F.col("text")).cast("long"))
     w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("total", F.sum("tok").over(w))
-    left = F.col("most") - (F.col("total") - F.col("tok"))
-    rows = rows.withColumn("most", F.lit(most).cast("long")).withColumn("left", left)
-    cut = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), F.lit(1), F.greatest(F.col("left"), F.lit(0)).cast("int")), " ")
-    rows = rows.withColumn("kept", F.when(F.col("total") <= F.col("most"), F.col("text")).when((F.col("left") > 0) & (F.length(cut) > least_chars), cut))
-    return rows.where(F.col("kept").isNotNull()).select("query_id", "rank", "chunk_id", F.col("kept").alias("text"))
+    rows = rows.withColumn("total", F.sum("tok").over(w)).withColumn("left", F.lit(most).cast("long") - (F.col("total") - F.col("tok")))
+    whole = rows.where(F.col("total") <= most).select("query_id", "rank", "chunk_id", "text")
+    over = rows.where((F.col("total") > most) & (F.col("left") > 0)).select("query_id", "rank", "chunk_id", F.trim("text").alias("text"), "left")
+    # The first that does not fit is the only one with room left before it.
+    steps = F.array(*[F.lit(1 << i).cast("long") for i in reversed(range(24))])
+    fits = lambda n: (n <= F.length("text")) & (count(F.substr(F.col("text"), F.lit(1), n.cast("int"))) <= F.col("left"))
+    best = F.aggregate(steps, F.lit(0).cast("long"), lambda at, jump: F.when(fits(at + jump), at + jump).otherwise(at))
+    cut = over.withColumn("n", best).where(F.col("n") > least_chars).select("query_id", "rank", "chunk_id", F.substr(F.col("text"), F.lit(1), F.col("n").cast("int")).alias("text"))
+    return whole.unionByName(cut)

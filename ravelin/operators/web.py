@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ravelin.functions import text as T
+from ravelin.sources.files import stored
+
 
 @dataclass
 class CrawlSettings:
@@ -29,8 +32,9 @@ def canonical(url: Column) -> Column:
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(page columns' url, href) of every quoted anchor target."""
-    found = F.regexp_extract_all(F.col(html), F.lit('<a[^>]+href="([^"]+)"'), F.lit(1))
+    """(page columns' url, href) of every anchor target in quotes of either kind, whatever the case of tag and attribute; blank ones are none."""
+    quoted = [F.regexp_extract_all(F.col(html), F.lit(f"(?i)<a\\s[^>]*?href\\s*=\\s*{q}([^{q}]+){q}"), F.lit(1)) for q in ('"', "'")]
+    found = F.filter(F.transform(F.concat(*quoted), lambda h: F.trim(h)), lambda h: h != "")
     return pages.select(F.col(url), F.explode(found).alias("href"))
 
 
@@ -55,16 +59,50 @@ def allowed(url: Column, rules: CrawlSettings, deny_everywhere: list[str] | None
 
 
 def traverse(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth) of all nodes within max_depth links of a seed: a join per level, against those not seen before."""
-    seen = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    front = seen
+    """(node, depth) of all nodes within max_depth links of a seed: a join per level, against those not seen before.
+
+    Each level is written to the shared folder, so that the next one does not work it out again.
+    """
+    front = stored(seeds.select("node", F.lit(0).alias("depth")).distinct(), "level")
+    seen = front
     for depth in range(1, max_depth + 1):
         new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        front = stored(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+def crawl(pages: DataFrame, edges: DataFrame, rules: CrawlSettings, deny_everywhere: list[str] | None = None) -> DataFrame:
+    """(url, depth, place, status, content_type, kept, skipped): what a walk from the seeds fetches, in order of depth, then URL.
+
+    `pages` has url, status and content_type; a URL without a page is not found. Links are followed where the rules allow their
+    canonical form. The walk ends with `max_pages` pages of status 200; those of another content type than HTML or PDF count but are
+    marked skipped, those of another status are logged and not kept.
+    """
+    spark = pages.sparkSession
+    first = spark.createDataFrame([(u,) for u in rules.seeds], "url string").select(canonical(F.col("url")).alias("node"))
+    to = edges.select(canonical(F.col("src")).alias("src"), canonical(F.col("dst")).alias("dst"))
+    found = traverse(first, to.where(allowed(F.col("dst"), rules, deny_everywhere)), rules.max_depth)
+    # Of pages with one canonical URL, the one with the least status and type.
+    known = pages.groupBy(canonical(F.col("url")).alias("url")).agg(F.min(F.struct("status", "content_type")).alias("p")).select("url", "p.*")
+    got = found.withColumnRenamed("node", "url").join(known, "url")
+    ok = (F.col("status") == 200).cast("int")
+    # Pages that count are numbered level by level: a running sum over the levels' counts, then within the level.
+    per = got.groupBy("depth").agg(F.sum(ok).alias("n"))
+    ahead = per.select(F.col("depth").alias("d"), (F.sum("n").over(W.orderBy("depth").rowsBetween(W.unboundedPreceding, -1))).alias("before"))
+    placed = got.join(F.broadcast(ahead), F.col("depth") == F.col("d")).withColumn("place", F.coalesce("before", F.lit(0)) + F.sum(ok).over(W.partitionBy("depth").orderBy("url").rowsBetween(W.unboundedPreceding, 0)))
+    kind = F.lower(F.trim(F.split(F.col("content_type"), ";")[0]))
+    wanted = kind.isin("text/html", "application/xhtml+xml", "application/pdf")
+    return placed.where(F.col("place") <= rules.max_pages).select("url", "depth", "place", "status", kind.alias("content_type"), (F.col("status") == 200).alias("kept"), ((F.col("status") == 200) & ~wanted).alias("skipped"))
+
+
+def page_name(url: Column) -> Column:
+    """The name a page's bytes are stored under."""
+    return F.sha1(url.cast("binary"))
+
+
 # Fixed values.
 DROP_TAGS = {"script", "style", "noscript", "svg", "canvas", "iframe", "form", "header", "footer", "nav", "aside"}
 DROP_CLASSES = {"nav", "navbar", "menu", "footer", "header", "cookie", "cookies", "cookie-banner", "breadcrumb", "breadcrumbs", "subscribe", "newsletter", "social", "share", "sharing", "ad", "ads", "advert", "advertisement"}
@@ -74,9 +112,13 @@ URL = re.compile(r"(?:https?://|www\.)\S+", re.IGNORECASE)
 
 
 def link_label(url: str | None) -> str:
-    s = (url or "").strip()
-    host = urlparse(f"https://{s}" if s.lower().startswith("www.") else s).netloc.lower() if s else ""
-    return host.removeprefix("www.") or "[link]"
+    """What stands for a link without words: its host, without www."""
+    target = (url or "").strip()
+    try:
+        host = urlparse(target if "//" in target[:9] else f"//{target}" if target[:4].lower() == "www." else target).netloc
+    except ValueError:
+        host = ""
+    return re.sub(r"^www\.", "", host.lower()) or "[link]"
 
 
 class Reader(HTMLParser):
@@ -154,17 +196,39 @@ def extract(html: Column) -> Column:
     return F.arrow_udf(_extract, "struct<title string, text string>")(html)
 
 
-def _nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
-
-
-def nfkc(c: Column) -> Column:
-    return F.arrow_udf(_nfkc, "string")(c)
-
-
 def with_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files with what the manifest knows of their path; its last record counts, and a missing one leaves empty text and a null status."""
     last = manifest.groupBy(F.col("saved_path").alias("path")).agg(F.max_by(F.struct("url", "status"), "line").alias("m"))
     rows = files.join(last, "path", "left")
     url = F.coalesce(F.col("m.url"), F.lit(""))
     return rows.select(*files.columns, url.alias("source_url"), url.alias("final_url"), F.col("m.status").alias("status"))
+
+
+def _try_extract(html: pa.Array) -> pa.Array:
+    rows = []
+    for h in html.to_pylist():
+        try:
+            title, body = readable(h.decode("utf-8", "ignore") if isinstance(h, bytes) else h)
+            rows.append({"title": title, "text": body, "error": None})
+        except Exception as e:  # a broken page goes to the dead letters, with what was wrong
+            rows.append({"title": None, "text": None, "error": f"{type(e).__name__}: {e}"})
+    return pa.array(rows, pa.struct([("title", pa.string()), ("text", pa.string()), ("error", pa.string())]))
+
+
+def extract_documents(pages: DataFrame, html: str = "html", min_chars: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(documents, dead letters) of pages with url, domain and HTML: title and cleaned text by the domain's policy, and the errors.
+
+    Documents of fewer than `min_chars` characters are left out. The pages are read once for both.
+    """
+    tried = F.arrow_udf(_try_extract, "struct<title string, text string, error string>")
+    rows = stored(pages.withColumn("_x", tried(F.col(html))).drop(html), "extracted")
+    title, url = F.col("_x.title"), F.col("url")
+    body = T.clean_by_policy(F.col("_x.text"), F.col("domain"), url, url, title)
+    good = rows.where(F.col("_x.error").isNull()).select(*[c for c in rows.columns if c != "_x"], title.alias("title"), body.alias("text"))
+    bad = rows.where(F.col("_x.error").isNotNull()).select("url", F.col("_x.error").alias("error"))
+    return good.where(F.length("text") >= min_chars), bad
+
+
+def all_documents(crawled: DataFrame, flat: DataFrame) -> DataFrame:
+    """Crawled documents and flat files as one table; what either side lacks is null."""
+    return crawled.withColumn("source", F.lit("crawl")).unionByName(flat.withColumn("source", F.lit("baseline_data")), allowMissingColumns=True)

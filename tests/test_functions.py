@@ -77,7 +77,10 @@ def test_mmr_and_context(spark):
 
 
 def test_answers(spark):
-    assert one(spark, clean_answer(F.col("x")), "Answer: Paris\n- paris\n2. 'Rome'\nAnswers") == "Paris; Rome"
+    cleaned = lambda t: one(spark, clean_answer(F.col("x")), t)
+    assert cleaned("Answer: Paris\n- paris\n2. 'Rome'\nAnswers") == "Paris; Rome; Answers"
+    assert cleaned("Answers:\nA: one\n\n3)two") == "one; two" and cleaned("Answer") == "Answer" and cleaned("-Paris") == "Paris"
+    assert cleaned("A: x") == "x" and cleaned("Final:final: y") == "y" and cleaned(' "quoted" ') == "quoted" and cleaned("  \n ") == "" and cleaned(None) == ""
     rows = spark.createDataFrame([(1, "where is the cat", 1, "A dog ran. The cat is here."), (2, "zzz", 1, "none")], "query_id long, question string, rank int, text string")
     assert {r["query_id"]: r["answer"] for r in answer(rows).collect()} == {1: "The cat is here.", 2: "I don't know"}
     assert one(spark, format_context(F.lit(1), F.lit("T"), F.lit(None).cast("string"), F.lit("u"), F.col("x")), "b") == "[1] Title: T | URL: u\nb"
