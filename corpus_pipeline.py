@@ -48,8 +48,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Brings the sources to their target weights: each document as often as the mix takes it, rounded to whole documents."""
-    size, taken, times = fresh("size"), fresh("taken"), fresh("times")
-    mixed, _ = mixing.mix(docs, names={"size": size, "taken": taken})
+    names = {c: fresh(c) for c in ("_row", "size", "source_size", "target", "taken")}
+    size, taken, times = names["size"], names["taken"], fresh("times")
+    mixed, _ = mixing.mix(docs, names=names)
     mixed = mixed.where(F.col(size) > 0).withColumn(times, F.round(F.col(taken) / F.col(size)).cast("int")).where(F.col(times) > 0)
     return mixed.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
@@ -70,7 +71,7 @@ STAGES = [
     ("bpe_tokens", tokenize),
 ]
 
-#: None: trained models, hashes and a learned tokenizer are beyond SQL; tests hold near-dedup against brute force, not yet the other stages.
+#: None: trained models, hashes and a learned tokenizer are beyond SQL; tests/llm hold the stages against brute force or their operators' own columns.
 ORACLE_SQL = None
 
 
