@@ -60,7 +60,7 @@ def facts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     letters = count((kind == 2) | (kind == 3))
     last = np.concatenate([blank[1:], [True]])[: len(raw)] | np.concatenate([first[1:], [True]])[: len(raw)]
     marks = kind >= 9
-    loud = marks & np.concatenate([[False], marks[:-1]])[: len(raw)] & last & ~blank
+    loud = marks & np.concatenate([[False], marks[:-1]])[: len(raw)] & last & ~starts  # the mark before is of the same word
     ended = (kind == 5) & last
     # Words as numbers: differences of a running polynomial hash, brought to a common power.
     at = np.flatnonzero(starts)
@@ -73,7 +73,9 @@ def facts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         word = (total[stop] - total[at]) * back[at] if len(at) else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(n), words)
         same = np.concatenate([[False], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])])[: len(word)]
-        distinct = np.bincount(np.unique(np.stack([owner.astype(np.uint64), word], 1), axis=0)[:, 0].astype(np.int64), minlength=n) if len(word) else np.zeros(n, np.int64)
+        order = np.lexsort((word, owner))
+        new = np.concatenate([[True], (word[order][1:] != word[order][:-1]) | (owner[order][1:] != owner[order][:-1])])[: len(word)]
+        distinct = np.bincount(owner[order][new], minlength=n)
     w = np.maximum(words, 1)
     visible = np.maximum(count(~blank), 1)
     out = np.stack([words, count(kind == 3) / np.maximum(letters, 1), count(marks) / visible, count(loud) / w, count(raw == 124) / w, distinct / w,

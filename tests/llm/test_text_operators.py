@@ -1,4 +1,4 @@
-"""BPE against the tokenizers library; SimHash, licences, order MinHash and mixing against brute force; edge cases of each."""
+"""BPE against the tokenizers library; SimHash and mixing against brute force; edge cases of these, licences and order MinHash."""
 
 import hashlib
 import re
