@@ -22,10 +22,12 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to a table of their own in the shared folder and read again."""
-    path = f"{work_folder(df.sparkSession)}/{name}_{uuid4().hex[:12]}"
+    """The rows, written to a table of their own in the shared folder, which goes when the driver ends, and read again."""
+    spark, path = df.sparkSession, f"{work_folder(df.sparkSession)}/{name}_{uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
