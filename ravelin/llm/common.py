@@ -47,14 +47,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
-    """Cut the lineage with a table in the shared folder. The table of `instead_of`, an earlier result, is deleted."""
-    path = f"{shared_folder(df.sparkSession)}/{fresh('table').strip('_')}"
+    """Cut the lineage with a table in the shared folder, deleted when the driver ends. The table of `instead_of`, an earlier result, is deleted now."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{fresh('table').strip('_')}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
     if instead_of is not None:
-        jvm, old = df.sparkSession._jvm, instead_of._durable_path
-        at = jvm.org.apache.hadoop.fs.Path(old)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(instead_of._durable_path), True)
+    out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
 
