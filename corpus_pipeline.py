@@ -76,8 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = durable(docs) if k + 1 < len(STAGES) else docs
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = before = durable(stage(spark, docs, sf_dir), instead_of=before)
+    return STAGES[-1][1](spark, docs, sf_dir)
