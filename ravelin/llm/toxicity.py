@@ -30,14 +30,16 @@ PLAIN = bytes.maketrans(PARTS, b" " * len(PARTS))
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 9000  # documents of each label that training may take, by hash order: a documented bound
-    passages: int = 200_000  # distinct passages of each label, about, that the dictionaries may be trained on, by hash: a documented bound
+    passages: int = 400_000  # distinct passages of each label, about, that the dictionaries may be trained on, by hash: a documented bound
     passage_bytes: int = 200  # longer passages, of words beyond any dictionary's use, train nothing; they are scored like all
     ordinary_bytes: int = 8192
     toxic_bytes: int = 6144
     run: int = 6  # bytes of the runs that tell toxic passages
     least_passages: int = 8
     least_ratio: float = 8.0
-    window: int = 3
+    passage: int = 3  # words of a passage, and from the start of one to that of the next
+    passage_step: int = 2
+    window: int = 4  # the same of the windows that are scored
     step: int = 2
     shorter: tuple[int, ...] = (3, 4, 5, 6, 7, 8, 9, 10)  # bytes less than the plain window
     closer: tuple[int, ...] = (-3, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7)  # bytes less than with the ordinary dictionary
@@ -139,7 +141,7 @@ def passage_udf(s: Settings):
         for texts in batches:
             parts = [pa.array([], pa.list_(pa.binary()))]
             for some in text_chunks(pc.utf8_lower(texts.fill_null("")), 1 << 19):
-                raw, spans, n = windows(some.to_pylist(), s.window, s.step)
+                raw, spans, n = windows(some.to_pylist(), s.passage, s.passage_step)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array([raw[a : a + b] for a, b in spans.tolist()], pa.binary())))
             yield pa.concat_arrays(parts)
