@@ -13,6 +13,8 @@ from ravelin.operators.sparse import ranked
 
 #: Questions are searched in blocks of this many, so that what is sent to the executors is bounded.
 BLOCK = 20_000
+#: Vectors and questions that are multiplied at once.
+ROWS, QUESTIONS = 4096, 1024
 
 
 def l2_normalize(v: Column) -> Column:
@@ -22,38 +24,52 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(d, lambda x: x / F.greatest(norm, F.lit(1e-12)))
 
 
+def _best(j: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each j by score, then by id, both descending."""
+    order = np.lexsort((-ids, -scores, j))
+    j, ids, scores = j[order], ids[order], scores[order]
+    first = np.searchsorted(j, j)
+    keep = np.arange(len(j)) - first < k
+    return j[keep], ids[keep], scores[keep]
+
+
+def usable(embedding: Column) -> Column:
+    """Whether a vector is there and has no null or non-finite component."""
+    return F.coalesce(F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False))), F.lit(False)) & (F.size(embedding) > 0)
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """(query_id, chunk_id, score, rank) from (query_id, embedding) and (chunk_id, embedding); ties to the larger chunk id."""
+    """(query_id, chunk_id, score, rank) from (query_id, embedding) and (chunk_id, embedding); ties to the larger chunk id.
+
+    Vectors that are null, empty or hold a null or non-finite component take no part; a question meets the vectors of its own length.
+    """
     spark = queries.sparkSession
-    numbered = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("e"))
-    blocks = max(1, -(-numbered.count() // BLOCK))
-    parts = []
-    for i in range(blocks):
-        some = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = some.collect()  # about BLOCK rows
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["e"] for r in rows], np.float64)))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(names)
-            for batch in batches:
-                if not len(names) or not batch.num_rows:
-                    continue
-                ids, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
-                scores = np.round(x @ q.T, digits)
-                for j in range(len(names)):
-                    i2, s2 = np.concatenate([best[j][0], ids]), np.concatenate([best[j][1], scores[:, j]])
-                    top = np.lexsort((-i2, -s2))[:k]
-                    best[j] = (i2[top], s2[top])
-            yield pa.RecordBatch.from_pydict({
-                "query_id": pa.array(np.repeat(np.array(names, np.int64), [len(b[0]) for b in best]), pa.int64()),
-                "chunk_id": pa.array(np.concatenate([b[0] for b in best]) if best else [], pa.int64()),
-                "score": pa.array(np.concatenate([b[1] for b in best]) if best else [], pa.float64()),
-            })
-
-        usable = vectors.where(F.col("embedding").isNotNull()).select(F.col("chunk_id").cast("long"), "embedding")
-        parts.append(usable.mapInArrow(scan, "query_id long, chunk_id long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    numbered = queries.where(usable(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("e"))
+    found = spark.createDataFrame([], "query_id long, chunk_id long, score double")
+    for size in numbered.groupBy(F.size("e").alias("d")).count().collect():  # the lengths in use are few
+        blocks = max(1, -(-size["count"] // BLOCK))
+        own = numbered.where(F.size("e") == size["d"])
+        fit = vectors.where(usable(F.col("embedding")) & (F.size("embedding") == size["d"])).select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>"))
+        for i in range(blocks):
+            rows = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()  # about BLOCK rows
+            sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["e"] for r in rows], np.float64)))
+
+            def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                names, q = sent.value
+                best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                for batch in batches:
+                    ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+                    x = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, q.shape[1]))
+                    parts = [best]
+                    for at in range(0, len(x), ROWS):
+                        for first in range(0, len(q), QUESTIONS):
+                            scores = np.round(x[at : at + ROWS] @ q[first : first + QUESTIONS].T, digits)
+                            n = len(scores)
+                            least = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
+                            row, j = np.nonzero(scores >= least)
+                            parts.append((j + first, ids[at + row], scores[row, j]))
+                    best = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), k)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(names[best[0]], pa.int64()), "chunk_id": pa.array(best[1], pa.int64()), "score": pa.array(best[2], pa.float64())})
+
+            found = found.unionByName(fit.mapInArrow(scan, "query_id long, chunk_id long, score double"))
     return ranked(found, "query_id", [F.desc("score"), F.desc("chunk_id")], k)

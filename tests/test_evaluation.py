@@ -98,3 +98,23 @@ def test_allocation_with_many_strata(spark):
     strata = spark.createDataFrame([(f"s{i:03}", 1 if i else 5000) for i in range(100)], "stratum string, n long")
     got = {r["stratum"]: r["take"] for r in analytics.allocation(strata, 150).collect()}
     assert sum(got.values()) == 150 and min(got.values()) == 1 and got["s000"] == 51
+
+
+def test_dense_search_by_brute_force(spark):
+    import numpy as np
+
+    from ravelin.operators import dense
+
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [float("nan")] * 4), (903, [1.0, 2.0]), (904, [])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 30)] + [(901, [1.0, None, 0.0, 0.0]), (903, [1.0, 2.0])], "query_id long, embedding array<double>")
+    got = {}
+    for r in dense.search(asked, vectors, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    for i in range(0, 300, 30):
+        s = np.round(x @ x[i], 6)
+        assert got[i] == [(int(j), float(s[j])) for j in np.lexsort((-np.arange(300), -s))[:5]]
+    assert set(got) == {*range(0, 300, 30), 903} and got[903] == [(903, 5.0)]
+    assert dense.search(asked.limit(0), vectors, 5).count() == dense.search(asked, vectors.limit(0), 5).count() == 0
