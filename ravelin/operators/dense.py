@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.operators.sparse import ranked
+from ravelin.operators.sparse import best, ranked
 
 #: Questions are searched in blocks of this many, so that what is sent to the executors is bounded.
 BLOCK = 20_000
@@ -24,15 +24,6 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(d, lambda x: x / F.greatest(norm, F.lit(1e-12)))
 
 
-def _best(j: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first k of each j by score, then by id, both descending."""
-    order = np.lexsort((-ids, -scores, j))
-    j, ids, scores = j[order], ids[order], scores[order]
-    first = np.searchsorted(j, j)
-    keep = np.arange(len(j)) - first < k
-    return j[keep], ids[keep], scores[keep]
-
-
 def usable(embedding: Column) -> Column:
     """Whether a vector is there and has no null or non-finite component."""
     return F.coalesce(F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False))), F.lit(False)) & (F.size(embedding) > 0)
@@ -56,11 +47,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6)
 
             def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 names, q = sent.value
-                best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
                 for batch in batches:
                     ids, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
                     x = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, q.shape[1]))
-                    parts = [best]
+                    parts = [top]
                     for at in range(0, len(x), ROWS):
                         for first in range(0, len(q), QUESTIONS):
                             scores = np.round(x[at : at + ROWS] @ q[first : first + QUESTIONS].T, digits)
@@ -68,8 +59,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6)
                             least = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(scores.shape[1], -np.inf)
                             row, j = np.nonzero(scores >= least)
                             parts.append((j + first, ids[at + row], scores[row, j]))
-                    best = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), k)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(names[best[0]], pa.int64()), "chunk_id": pa.array(best[1], pa.int64()), "score": pa.array(best[2], pa.float64())})
+                    top = best(*(np.concatenate(c) for c in zip(*parts, strict=True)), k)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(names[top[0]], pa.int64()), "chunk_id": pa.array(top[1], pa.int64()), "score": pa.array(top[2], pa.float64())})
 
             found = found.unionByName(fit.mapInArrow(scan, "query_id long, chunk_id long, score double"))
     return ranked(found, "query_id", [F.desc("score"), F.desc("chunk_id")], k)

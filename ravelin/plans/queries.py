@@ -61,7 +61,7 @@ def docs_index(spark: SparkSession, d: str) -> sparse.SparseIndex:
     key = (spark.sparkContext.applicationId, d)
     if key not in _SAVED:
         path = f"{work_folder(spark)}/index_{uuid4().hex[:12]}"
-        sparse.build(table(spark, d, "documents"), "doc_id", "text").save(path)
+        sparse.build(table(spark, d, "documents"), "doc_id", "text", place=path).save(path)
         _SAVED[key] = path
     return sparse.load(spark, _SAVED[key])
 
