@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the compression distance predicts to be toxic; learns from the labelled ones among those here."""
     score, toxic = fresh("score"), fresh("toxic")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), settings=toxicity.BY_WORD)
     return toxicity.with_toxicity(docs, model, score=score, predicted=toxic).where(F.col(toxic) == 0).select(*docs.columns)
 
 

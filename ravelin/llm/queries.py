@@ -50,7 +50,7 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = fold("doc_id", 5) == 0
-    model = toxicity.train(docs.where(~held_out), labels.where(~held_out))
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out), settings=toxicity.BY_WORD)
     return toxicity.with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -3,13 +3,16 @@
 Two zstandard dictionaries are trained, one on passages of ordinary documents, one on passages of toxic documents: of these, the ones
 that tell, as runs of bytes in them recur in many toxic passages and hardly in ordinary ones. A document is cut into overlapping windows
 of a few words; each is compressed with either dictionary. The windows are counted by how much the toxic dictionary shortens them,
-against their plain length and against the ordinary dictionary, at several thresholds; the counts are turned into a probability by a
-logistic curve that is calibrated on documents kept from training.
+against their plain length and against the ordinary dictionary, at several thresholds. As a single word weighs little in a window, every
+word may be compressed by itself as well (`BY_WORD`), said three times so that it is not stored plain, with a third dictionary: the words that tell, as
+they stand in the toxic passages. The counts are turned into a probability by a logistic curve that is calibrated on documents kept from
+training.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,11 +47,19 @@ class Settings:
     shorter: tuple[int, ...] = (3, 4, 5, 6, 7, 8, 9, 10)  # bytes less than the plain window
     closer: tuple[int, ...] = (-3, -2, -1, 0, 1, 2, 3, 4, 5, 6, 7)  # bytes less than with the ordinary dictionary
     both: tuple[tuple[int, int], ...] = ((4, -1), (4, 1), (4, 3), (6, -1), (6, 1), (6, 3), (8, -1), (8, 1), (8, 3))
+    word_bytes: int = 6144
+    times: int = 3  # that a word is said in its own window
+    sizes: tuple[int, ...] = ()  # bytes of a word's window with the dictionary of words; none: no windows of single words
+    nearer: tuple[int, ...] = (1, 2, 3, 4, 5, 6)  # bytes less than with the ordinary dictionary
     level: int = 8
 
     @property
     def width(self) -> int:
-        return len(self.shorter) + len(self.closer) + len(self.both) + 1
+        return len(self.shorter) + len(self.closer) + len(self.both) + 1 + len(self.sizes) * len(self.nearer)
+
+
+#: What the queries use: single words count too.
+BY_WORD = Settings(sizes=tuple(range(15, 23)))
 
 
 @dataclass
@@ -57,11 +68,12 @@ class Toxicity:
     toxic: bytes
     curve: np.ndarray
     settings: Settings
+    words: bytes = b" "
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        """Of the ordinary dictionary and of the toxic one."""
+        """Of the ordinary dictionary, of the toxic one and, where single words count, of that of words."""
         out = []
-        for content in (self.ordinary, self.toxic):
+        for content in (self.ordinary, self.toxic, *([self.words] if self.settings.sizes else [])):
             d = zstandard.ZstdCompressionDict(content)
             d.precompute_compress(level=self.settings.level)
             out.append(zstandard.ZstdCompressor(level=self.settings.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
@@ -87,19 +99,49 @@ def windows(texts: list[str], size: int, step: int) -> tuple[bytes, np.ndarray,
     return raw, np.stack([starts[first], stops[last] - starts[first]], 1).astype(np.uint64), n
 
 
-def features(texts: list[str], tools: list[zstandard.ZstdCompressor], s: Settings) -> np.ndarray:
-    """Of each text: for each threshold, the log of 1 + the windows that reach it; the log of 1 + their number."""
+#: Words whose sizes a task keeps.
+SEEN = 1 << 18
+
+
+def word_sizes(flat: list[bytes], tools: list[zstandard.ZstdCompressor], s: Settings, seen: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(size, bytes less than with the ordinary dictionary) of all words' windows, one text after another, and the text of each."""
+    split = pc.split_pattern(pa.array([t.decode() for t in flat], pa.large_string()), " ")
+    text, found = pc.list_parent_indices(split), split.flatten()
+    full = pc.not_equal(found, "")
+    coded = found.filter(full).dictionary_encode()
+    if len(seen) > SEEN:
+        seen.clear()
+    out = np.zeros((len(coded.dictionary), 2), np.int64)
+    for i, w in enumerate(coded.dictionary.to_pylist()):
+        if w not in seen:
+            x = f" {w}".encode() * s.times + b" "
+            size = len(tools[2].compress(x))
+            seen[w] = (size, len(tools[0].compress(x)) - size)
+        out[i] = seen[w]
+    return out[coded.indices.to_numpy()], text.filter(full).to_numpy()
+
+
+def features(texts: list[str], tools: list[zstandard.ZstdCompressor], s: Settings, seen: dict[str, tuple[int, int]] | None = None) -> np.ndarray:
+    """Of each text: for each threshold, the log of 1 + the windows that reach it; the log of 1 + their number; the same of words."""
     raw, spans, n = windows(texts, s.window, s.step)
     counts = np.zeros((len(texts), s.width))
     if len(spans):
         segments = zstandard.BufferWithSegments(raw, spans.tobytes())
-        ordinary, toxic = (np.array([len(x) for x in c.multi_compress_to_buffer(segments, threads=0)]) for c in tools)
+        ordinary, toxic = (np.array([len(x) for x in c.multi_compress_to_buffer(segments, threads=0)]) for c in tools[:2])
         shorter, closer = spans[:, 1].astype(np.int64) - toxic, ordinary - toxic
         ends = np.concatenate([[0], np.cumsum(n)])
         reached = [shorter >= t for t in s.shorter] + [closer >= t for t in s.closer] + [(shorter >= a) & (closer >= b) for a, b in s.both]
         for k, r in enumerate(reached):
             counts[:, k] = sums_between(r.astype(np.int64), ends)
-        counts[:, -1] = n
+        counts[:, len(reached)] = n
+        if not s.sizes:
+            return np.log1p(counts)
+        each, text = word_sizes([t.encode().translate(PLAIN) for t in texts], tools, s, {} if seen is None else seen)
+        at = len(reached) + 1
+        for size in s.sizes:
+            for less in s.nearer:
+                counts[:, at] = np.bincount(text[(each[:, 0] <= size) & (each[:, 1] >= less)], minlength=len(texts))
+                at += 1
     return np.log1p(counts)
 
 
@@ -108,11 +150,11 @@ def feature_udf(model, s: Settings, score: bool):
 
     @F.arrow_udf("double" if score else "array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tools = model.value.compressors()
+        tools, seen = model.value.compressors(), {}
         for texts in batches:
             rows = [np.zeros((0, s.width))]
             for some in text_chunks(pc.utf8_lower(texts.fill_null("")), 1 << 19):
-                rows.append(features(some.to_pylist(), tools, s))
+                rows.append(features(some.to_pylist(), tools, s, seen))
             x = np.concatenate(rows)
             yield pa.array(model.value.probability(x)) if score else pa.array(list(x), pa.list_(pa.float64()))
 
@@ -176,8 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         random.Random(5).shuffle(rows)
     if not own[0] or not own[1]:
         return Toxicity(b" ", b" ", np.array([_odds(prior)] + [0.0] * s.width), s)
-    telling = tell(own[1], own[0], s)
-    model = Toxicity(_dictionary(own[0], s.ordinary_bytes, 32, 6), _dictionary(telling or own[1], s.toxic_bytes, 16, 8), np.zeros(s.width + 1), s)
+    good = telling_runs(own[1], own[0], s)
+    telling = with_runs(own[1], good, s)
+    ordinary, toxic_ = _dictionary(own[0], s.ordinary_bytes, 32, 6), _dictionary(telling or own[1], s.toxic_bytes, 16, 8)
+    model = Toxicity(ordinary, toxic_, np.zeros(s.width + 1), s, telling_words(telling, good, s))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = sample.where("held").select("k", "y", F.xxhash64("t").alias("h"), feature_udf(shared, s, False)("t").alias("x"))
     held = held.groupBy("k").agg(F.min("y").alias("y"), F.min_by("x", "h").alias("x")).collect()
@@ -221,19 +265,34 @@ def run_counts(passages: list[bytes], size: int, slice_: int = 20_000) -> tuple[
     return key, n
 
 
-def tell(toxic: list[bytes], ordinary: list[bytes], s: Settings, slice_: int = 20_000) -> list[bytes]:
-    """The toxic passages with a run of bytes that stands in several of them and, by share, much more rarely in ordinary ones."""
+def telling_runs(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> np.ndarray:
+    """The runs of bytes that stand in several toxic passages and, by share, much more rarely in ordinary ones."""
     (mine, n), (other, m) = run_counts(toxic, s.run), run_counts(ordinary, s.run)
     at = np.minimum(np.searchsorted(other, mine), max(len(other) - 1, 0))
     also = np.where(other[at] == mine, m[at], 0) if len(other) else np.zeros(len(mine))
-    good = mine[(n >= s.least_passages) & (n / len(toxic) >= s.least_ratio * (also + 1) / len(ordinary))]
+    return mine[(n >= s.least_passages) & (n / len(toxic) >= s.least_ratio * (also + 1) / len(ordinary))]
+
+
+def with_runs(passages: list[bytes], good: np.ndarray, s: Settings, slice_: int = 20_000) -> list[bytes]:
+    """The passages that have one of these runs."""
     out = []
-    for i in range(0, len(toxic), slice_):
-        key, of = runs(toxic[i : i + slice_], s.run)
-        out += [toxic[i + k] for k in np.unique(of[np.isin(key, good)])]
+    for i in range(0, len(passages), slice_):
+        key, of = runs(passages[i : i + slice_], s.run)
+        out += [passages[i + k] for k in np.unique(of[np.isin(key, good)])]
     return out
 
 
+def tell(toxic: list[bytes], ordinary: list[bytes], s: Settings, slice_: int = 20_000) -> list[bytes]:
+    """The toxic passages with a telling run."""
+    return with_runs(toxic, telling_runs(toxic, ordinary, s), s, slice_)
+
+
+def telling_words(telling: list[bytes], good: np.ndarray, s: Settings) -> bytes:
+    """The distinct words with a telling run, the most frequent last, where the compressor looks first."""
+    words = Counter(with_runs([b" " + w + b" " for p in telling for w in p.split()], good, s))
+    return b"".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0])))[-s.word_bytes :] or b" "
+
+
 def _dictionary(samples: list[bytes], size: int, segment: int, run: int) -> bytes:
     """A trained dictionary; of few samples, which the trainer refuses, their own text."""
     try:
