@@ -14,7 +14,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,8 @@ class Settings:
 
 #: What the queries use: single words count too.
 BY_WORD = Settings(sizes=tuple(range(15, 23)))
+#: Calibrating documents of each label below which single words do not count: their many thresholds would only fit the few texts.
+LEAST_HELD = 30
 
 
 @dataclass
@@ -226,6 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     held = sample.where("held").select("k", "y", F.xxhash64("t").alias("h"), feature_udf(shared, s, False)("t").alias("x"))
     held = held.groupBy("k").agg(F.min("y").alias("y"), F.min_by("x", "h").alias("x")).collect()
     x, y = np.array([r["x"] for r in held]).reshape(len(held), -1), np.array([r["y"] for r in held], float)
+    if s.sizes and min((y == 0).sum(), (y == 1).sum()) < LEAST_HELD:
+        model.settings = s = replace(s, sizes=())
+        model.curve, x = np.zeros(s.width + 1), x[:, : s.width]
     if len(set(y)) < 2:
         model.curve[0] = _odds(prior)
         return model
